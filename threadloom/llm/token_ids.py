@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +31,13 @@ from threadloom.llm.common import get_file, positions, put_file, saved, scratch,
 
 MAGIC = b"TLS8ID01"
 BLOCK = 8192
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 20
 #: Selectors of Simple-8b (fixed values): values per word and bits per value. Selector 0 is the escape.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 PAD = int(COUNTS.max())
-#: Entries of a worker's cache of encoded words; emptied when full.
-CACHE = 400_000
+#: Words that each of the two generations of a worker's cache holds.
+CACHE = 300_000
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,24 +145,33 @@ class Words(dict):
 
     A byte-level BPE splits text before every blank that precedes something else, so the ids of a text are those
     of its words one after the other, unless a blank meets other white space; such texts are encoded whole.
+    A word of Latin letters is one pretoken and goes to the BPE model directly, a comma or stop after it is another.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.letters = self.tokenizer.model.tokenize
+        self.marks = {mark: self.whole(mark) for mark in ",."}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ",." and word[:-1].isalpha():
-            ids = self[word[:-1]] + self.whole(word[-1])
-        else:
-            ids = self.whole(" " + word)
+        ids = self.older.get(word)
+        if ids is None:
+            if word.isalpha() and (word.isascii() or max(word) < LATIN_END):
+                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = array("I", [token.id for token in self.letters(BLANK_LETTER + spelt)]).tobytes()
+            elif len(word) > 1 and word[-1] in self.marks and word[:-1].isalpha():
+                return self[word[:-1]] + self.marks[word[-1]]
+            else:
+                ids = self.whole(" " + word)
         if len(word) <= 32:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE:  # of two generations the older goes
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -175,6 +185,12 @@ class Words(dict):
         return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
 
 
+#: Byte-level BPE spells bytes as letters: printable ones as they are, the others from U+0100 on (fixed rule).
+BLANK_LETTER = "\u0120"
+_plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _plain)}
+#: Letters below are letters to every version of Unicode.
+LATIN_END = "\u0250"
 BLANKS = re.compile(r" \s")
 _words: dict[str, Words] = {}
 
