@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import mixing, token_ids
+from threadloom.llm import mixing, quality, token_ids
 from threadloom.llm.common import table
 
 
@@ -12,6 +12,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_quality(spark, sf_dir):
+    return quality.verdicts(table(spark, sf_dir, "documents")).select(*quality.RESULT)
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -20,6 +24,6 @@ def op7_token_ids(spark, sf_dir):
     return token_ids.decode(token_ids.encode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op7_token_ids": op7_token_ids}
+QUERIES = {"op2_quality": op2_quality, "op4_mixing": op4_mixing, "op7_token_ids": op7_token_ids}
 
-ORACLE_SQL = {"op4_mixing": mixing.SQL}
+ORACLE_SQL = {"op2_quality": quality.sql(), "op4_mixing": mixing.SQL}
