@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import mixing, quality, token_ids
+from threadloom.llm import decontaminate, mixing, quality, token_ids
 from threadloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_quality(spark, sf_dir):
     return quality.verdicts(table(spark, sf_dir, "documents")).select(*quality.RESULT)
 
 
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(*decontaminate.RESULT)
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -24,6 +28,6 @@ def op7_token_ids(spark, sf_dir):
     return token_ids.decode(token_ids.encode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
-QUERIES = {"op2_quality": op2_quality, "op4_mixing": op4_mixing, "op7_token_ids": op7_token_ids}
+QUERIES = {"op2_quality": op2_quality, "op3_decontaminate": op3_decontaminate, "op4_mixing": op4_mixing, "op7_token_ids": op7_token_ids}
 
-ORACLE_SQL = {"op2_quality": quality.sql(), "op4_mixing": mixing.SQL}
+ORACLE_SQL = {"op2_quality": quality.sql(), "op3_decontaminate": decontaminate.SQL, "op4_mixing": mixing.SQL}
