@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import decontaminate, mixing, quality, token_ids
+from threadloom.llm import decontaminate, mixing, near_duplicates, quality, token_ids
 from threadloom.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op7_token_ids(spark, sf_dir):
     return token_ids.decode(token_ids.encode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
-QUERIES = {"op2_quality": op2_quality, "op3_decontaminate": op3_decontaminate, "op4_mixing": op4_mixing, "op7_token_ids": op7_token_ids}
+def op9_near_duplicates(spark, sf_dir):
+    return near_duplicates.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_quality": op2_quality, "op3_decontaminate": op3_decontaminate, "op4_mixing": op4_mixing, "op7_token_ids": op7_token_ids, "op9_near_duplicates": op9_near_duplicates}
 
 ORACLE_SQL = {"op2_quality": quality.sql(), "op3_decontaminate": decontaminate.SQL, "op4_mixing": mixing.SQL}
