@@ -95,7 +95,7 @@ def put_file(folder: str, name: str, data: bytes) -> str:
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    with store.open_output_stream(part := f"{root}/.{name}.{uuid.uuid4().hex}") as out:
+    with store.open_output_stream(part := f"{root}/.{name}.{uuid.uuid4().hex}", compression=None) as out:
         out.write(data)
     store.move(part, f"{root}/{name}")
     return f"{folder}/{name}"
@@ -105,7 +105,7 @@ def get_file(path: str) -> bytes:
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(at) as source:
+    with store.open_input_stream(at, compression=None) as source:
         return source.read()
 
 

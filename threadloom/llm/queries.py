@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import decontaminate, mixing, near_duplicates, quality, token_ids
+from threadloom.llm import decontaminate, mixing, near_duplicates, quality, token_ids, warc
 from threadloom.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op9_near_duplicates(spark, sf_dir):
     return near_duplicates.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op3_decontaminate": op3_decontaminate, "op4_mixing": op4_mixing, "op7_token_ids": op7_token_ids, "op9_near_duplicates": op9_near_duplicates}
+def op10_warc(spark, sf_dir):
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op2_quality": op2_quality, "op3_decontaminate": op3_decontaminate, "op4_mixing": op4_mixing, "op7_token_ids": op7_token_ids, "op9_near_duplicates": op9_near_duplicates, "op10_warc": op10_warc}
 
 ORACLE_SQL = {"op2_quality": quality.sql(), "op3_decontaminate": decontaminate.SQL, "op4_mixing": mixing.SQL}
