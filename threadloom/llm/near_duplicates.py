@@ -236,7 +236,8 @@ def join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995) -> Da
     apart = cut.select("rep", "nodes", "copies", F.struct(F.col("node").alias("k"), "tree", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j")).alias("unit"), (F.col("part") > F.col("o")).cast("int").alias("side"))
     units = together.unionByName(apart)
     # texts come once to each class; a class in several units is copied by the join that deals units out
-    chosen = placed.select(F.col("rep").alias("_r"))
+    # always by shuffle: the part of the corpus with candidates has no bound that a broadcast could rely on
+    chosen = placed.select(F.col("rep").alias("_r")).hint("merge")
     texts = docs.join(chosen, docs["doc_id"] == chosen["_r"]).select("doc_id", "text").dropDuplicates(["doc_id"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
