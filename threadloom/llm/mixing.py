@@ -48,14 +48,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return ranked.withColumn("target", F.least(level, cap.cast("double"))).drop("weight")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, epochs, part, taken) of every row of (doc_id, source, text).
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, epochs, part, taken) of every row of (doc_id, source, text), and the
+    columns named in ``carry``.
 
     ``epochs``: how often the whole document is taken; ``part``: leading words of one more copy, less than
     ``size`` only for the document in which the budget ends.  taken = epochs * size + part.
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = saved(docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("key")), "sizes")
+    rows = saved(docs.select("doc_id", "source", *carry, words(F.col("text")).alias("size"), key.alias("key")), "sizes")
     aim = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), weights, share, most)
     aim = saved(aim.withColumn("bits", F.least(F.lit(31), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("rows") / RANGE_ROWS)))).cast("int")), "targets")
     same = rows["source"].eqNullSafe(aim["source"])
@@ -71,18 +72,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     out = dealt.join(starts, dealt["source"].eqNullSafe(starts["s"]) & (dealt["range"] == starts["r"]))
     out = out.withColumn("before", before).withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     out = out.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before"))))
-    return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    return out.select("doc_id", "source", *carry, "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Rows of the mix: whole documents once per epoch, and the last one of each source up to its budget.
 
-    Decisions meet their documents by doc_id (which must be unique here).  A cut text keeps its leading words,
-    one space between them, and n_chars follows it.
+    A cut text keeps its leading words, one space between them, and n_chars follows it.
     """
-    plan = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "epochs", "part")
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    plan = mix(rows, carry=("_row",), **options).filter("taken > 0").select("_row", "size", "epochs", "part")
     copies = F.expr("transform(sequence(1, int(epochs + if(part > 0, 1, 0))), i -> if(i <= epochs, size, part))")
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).withColumn("_take", F.explode(copies))
+    rows = rows.join(plan.hint("merge"), "_row").withColumn("_take", F.explode(copies))
     lead = F.expr(r"array_join(slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), 1, int(_take)), ' ')")
     rows = rows.withColumn("text", F.when(F.col("_take") < F.col("size"), lead).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

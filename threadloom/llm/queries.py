@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, language, mixing, near_duplicates, quality, suffix_dedup, token_ids, toxicity, warc
+from threadloom.llm import chat, decontaminate, language, mixing, near_duplicates, quality, suffix_dedup, token_ids, toxicity, warc
 from threadloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_chat(spark, sf_dir):
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op6_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,6 @@ def op10_warc(spark, sf_dir):
     return warc.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_quality": op2_quality, "op3_decontaminate": op3_decontaminate, "op4_mixing": op4_mixing, "op6_language": op6_language, "op7_token_ids": op7_token_ids, "op8_toxicity": op8_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_warc": op10_warc}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_quality": op2_quality, "op3_decontaminate": op3_decontaminate, "op4_mixing": op4_mixing, "op5_chat": op5_chat, "op6_language": op6_language, "op7_token_ids": op7_token_ids, "op8_toxicity": op8_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_warc": op10_warc}
 
-ORACLE_SQL = {"op2_quality": quality.sql(), "op3_decontaminate": decontaminate.SQL, "op4_mixing": mixing.SQL}
+ORACLE_SQL = {"op2_quality": quality.sql(), "op3_decontaminate": decontaminate.SQL, "op4_mixing": mixing.SQL, "op5_chat": chat.SQL}
