@@ -1,10 +1,55 @@
-"""A corpus pipeline from operators of threadloom.llm."""
+"""A corpus pipeline: quality rules, near duplicates, decontamination, mixing, token ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and gives
+the reread table to the next stage.  All stages but the last return the columns of documents.
+"""
 
-#: Token ids have no SQL form, and the pipeline ends with them.
+from __future__ import annotations
+
+from threadloom.llm import decontaminate, mixing, near_duplicates, quality, token_ids
+from threadloom.llm.common import saved, table
+from threadloom.llm.queries import tokenizer_path
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Rejected documents go."""
+    return quality.kept(docs)
+
+
+def near_duplicate_join(spark, docs, sf_dir):
+    """Of each group of linked documents the one with the smallest id stays."""
+    return near_duplicates.distinct(docs)
+
+
+def benchmark_decontamination(spark, docs, sf_dir):
+    """Documents with at least a twentieth of their words in benchmark passages go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def target_mix(spark, docs, sf_dir):
+    """Documents are taken, and repeated, up to each source's budget."""
+    return mixing.mixed(docs)
+
+
+def token_id_files(spark, docs, sf_dir):
+    """Texts become shards of token ids; rows tell what the files hold."""
+    return token_ids.decode(token_ids.encode(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicate_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing to target weights", target_mix),
+    ("token ids", token_id_files),
+]
+
+#: SQL has no tokenizer, so the last stage can't be expressed; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
