@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -169,7 +170,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows, held = [], 0
-                for fields, block in records(gzip.decompress(get_file(path))):
+                for fields, block in records(gzip.GzipFile(fileobj=io.BytesIO(get_file(path))).read()):
                     kind, own = fields["warc-type"], fields["warc-record-id"]
                     row = dict.fromkeys(names) | {"record_type": kind, "id": fields.get("warc-segment-origin-id", own), "url": fields.get("warc-target-uri"), "refers": fields.get("warc-refers-to")}
                     row["stated"] = fields.get("warc-payload-digest", "").removeprefix("sha1:")
