@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,15 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import get_file, positions, put_file, saved, scratch, slices
 
 MAGIC = b"TLS8ID01"
-BLOCK = 8192
+BLOCK = 1024
 SHARD_IDS = 1 << 20
 #: Selectors of Simple-8b (fixed values): values per word and bits per value. Selector 0 is the escape.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 PAD = int(COUNTS.max())
-#: Words that each of the two generations of a worker's cache holds.
-CACHE = 300_000
+_WIDTH = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
+#: Words seen twice that a worker caches, and as many words seen once.
+CACHE = 700_000
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,21 +53,31 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     whole = np.zeros(blocks * block, np.uint64)
     whole[:n] = ids
     values[:, :block] = whole.reshape(blocks, block)
-    width = np.zeros(values.shape, np.uint8)
-    for at in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):
-        width += values >= np.uint64(1 << at)
-    limit = np.searchsorted([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], BITS).astype(np.uint8)
-    # widest value of the next 1, 2, 4, ... values; any other length is two of these, overlapping
-    powers = {1: width}
-    while 2 * max(powers) <= PAD:
-        p = max(powers)
-        powers[2 * p] = np.maximum(powers[p], np.pad(powers[p][:, p:], ((0, 0), (0, p))))
+    if ids.max() < 1 << 16:
+        width = _WIDTH[values.astype(np.uint16)]
+    else:
+        width = np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # rounding up at 2^53 and beyond only wastes a bit
+    widest = {1: width}
+
+    def window(c: int) -> np.ndarray:
+        """Widest of the next c values: of a power of two, from halves; else of two that overlap."""
+        p = 1 << (c.bit_length() - 1)
+        if p not in widest:
+            half = window_of(p // 2)
+            widest[p] = np.maximum(half, np.pad(half[:, p // 2 :], ((0, 0), (0, p // 2))))
+        m = widest[p]
+        return m[:, :block] if p == c else np.maximum(m[:, :block], m[:, c - p : c - p + block])
+
+    def window_of(p: int) -> np.ndarray:
+        window(p)
+        return widest[p]
+
     choice = np.zeros((blocks, block), np.uint8)
     for s in range(len(COUNTS) - 1, 0, -1):
-        c = int(COUNTS[s])
-        p = 1 << (c.bit_length() - 1)
-        m = powers[p][:, :block] if p == c else np.maximum(powers[p][:, :block], powers[p][:, c - p : c - p + block])
-        choice[m <= limit[s]] = s
+        fits = window(int(COUNTS[s])) <= BITS[s]
+        if not fits.any():  # then more values of fewer bits fit nowhere
+            break
+        choice[fits] = s
     # all blocks step from word to word together
     flat, size = choice.reshape(-1), np.minimum(block, n - np.arange(blocks) * block)
     at, live, steps = np.zeros(blocks, np.int64), np.arange(blocks), []
@@ -99,20 +111,18 @@ def unpack(words: np.ndarray, offsets: np.ndarray, exceptions: np.ndarray, n: in
     before = np.cumsum(counts) - counts
     offsets = offsets.astype(np.int64)
     block_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = before - before[offsets[:-1]][block_of] + block_of * block if len(words) else before
-    ids = np.zeros(n + PAD, np.uint64)
-    end = np.minimum((block_of + 1) * block, n)
+    at = before - before[offsets[:-1]][block_of] + block_of * (block + PAD) if len(words) else before
+    blocks = len(offsets) - 1
+    ids = np.zeros(blocks * (block + PAD), np.uint64)  # a block's last word may say more values than the block has
     for s in np.unique(selectors):
         own = np.flatnonzero(selectors == s)
         if s == 0:
             ids[at[own]] = exceptions[(words[own] & np.uint64((1 << 60) - 1)).astype(np.int64)]
         elif BITS[s]:
-            mask = np.uint64((1 << int(BITS[s])) - 1)
+            mask, packed, place = np.uint64((1 << int(BITS[s])) - 1), words[own], at[own]
             for k in range(int(COUNTS[s])):
-                p = at[own] + k
-                in_block = p < end[own]
-                ids[p[in_block]] = (words[own][in_block] >> np.uint64(k * BITS[s])) & mask
-    return ids[:n]
+                ids[place + k] = (packed >> np.uint64(k * BITS[s])) & mask
+    return ids.reshape(blocks, block + PAD)[:, :block].reshape(-1)[:n]
 
 
 def shard(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
@@ -145,35 +155,49 @@ class Words(dict):
 
     A byte-level BPE splits text before every blank that precedes something else, so the ids of a text are those
     of its words one after the other, unless a blank meets other white space; such texts are encoded whole.
-    A word of Latin letters is one pretoken and goes to the BPE model directly, a comma or stop after it is another.
+    A word of Latin letters is one pretoken and goes to the BPE model directly, signs after it are another.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.once: dict[str, bytes] = {}  # words seen once wait here
         self.letters = self.tokenizer.model.tokenize
-        self.marks = {mark: self.whole(mark) for mark in ",."}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
+    def mark(self, signs: str) -> bytes:
+        ids = self.marks.get(signs)
         if ids is None:
-            if word.isalpha() and (word.isascii() or max(word) < LATIN_END):
-                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-                ids = array("I", [token.id for token in self.letters(BLANK_LETTER + spelt)]).tobytes()
-            elif len(word) > 1 and word[-1] in self.marks and word[:-1].isalpha():
-                return self[word[:-1]] + self.marks[word[-1]]
-            else:
-                ids = self.whole(" " + word)
-        if len(word) <= 32:
-            if len(self) >= CACHE:  # of two generations the older goes
-                self.older = dict(self)
+            ids = self.whole(signs)
+            if len(self.marks) < 10_000:
+                self.marks[signs] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.once.pop(word, None)
+        if ids is not None:
+            if len(self) >= CACHE:
                 self.clear()
             self[word] = ids
+        else:
+            letters = word.rstrip(punctuation)
+            if letters.isalpha() and (letters.isascii() or max(letters) < LATIN_END):
+                if len(letters) < len(word):
+                    ids = self[letters] + self.mark(word[len(letters) :])
+                else:
+                    spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                    ids = array("I", [token.id for token in self.letters(BLANK_LETTER + spelt)]).tobytes()
+            else:
+                ids = self.whole(" " + word)
+            if len(word) <= 32:
+                if len(self.once) >= CACHE:
+                    self.once.clear()
+                self.once[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -242,5 +266,6 @@ def decode(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(data[4 * (b - k) : 4 * b]) for b, k in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(ends - lengths + start, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    files = max(1, manifest.count())
-    return manifest.select("path", "start").repartition(files).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files, ids = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    tasks = max(1, min(files, ids // (4 * SHARD_IDS) + 1))
+    return manifest.select("path", "start").repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
