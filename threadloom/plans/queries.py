@@ -123,8 +123,8 @@ def recent_newest_first(spark, sf_dir) -> DataFrame:
 @query(f"""WITH RECURSIVE {CONVERSATIONS}, r AS (SELECT session, pos, tokens AS t, 1 AS k, 0 AS c, tokens >= 150 AND 1 >= 2 AS closed FROM m WHERE pos = 0
 UNION ALL SELECT m.session, m.pos, CASE WHEN r.closed THEN m.tokens ELSE r.t + m.tokens END, CASE WHEN r.closed THEN 1 ELSE r.k + 1 END, r.c + CASE WHEN r.closed THEN 1 ELSE 0 END,
  CASE WHEN r.closed THEN false ELSE r.t + m.tokens >= 150 AND r.k + 1 >= 2 END FROM r JOIN m ON m.session = r.session AND m.pos = r.pos + 1),
-x AS (SELECT session, c, count(*) AS n, min(pos) AS a, max(pos) + 1 AS b FROM r GROUP BY ALL)
-SELECT session, CAST(c AS BIGINT) AS chunk_no, CAST(a AS BIGINT) AS start_idx, CAST(b AS BIGINT) AS end_idx, string_agg(msg_id, ':' ORDER BY pos) AS chunk_key, CAST(sum(tokens) AS BIGINT) AS tokens FROM x JOIN m USING (session) WHERE n >= 2 AND pos >= a AND pos < b GROUP BY ALL""")
+x AS (SELECT session, c, count(*) AS rows, min(pos) AS a, max(pos) + 1 AS b FROM r GROUP BY ALL)
+SELECT session, CAST(c AS BIGINT) AS chunk_no, CAST(a AS BIGINT) AS start_idx, CAST(b AS BIGINT) AS end_idx, string_agg(msg_id, ':' ORDER BY pos) AS chunk_key, CAST(sum(tokens) AS BIGINT) AS tokens FROM x JOIN m USING (session) WHERE rows >= 2 AND pos >= a AND pos < b GROUP BY ALL""")
 def chunk_by_size(spark, sf_dir) -> DataFrame:
     rows = zones.compressible(zones.zoned(zones.measured(conversation_messages(spark, sf_dir)), 0, -1))
     found = chunking.chunks(chunking.by_size(rows, 150, 2))
@@ -170,7 +170,7 @@ def transcripts(spark, sf_dir) -> DataFrame:
     return chunking.chunks(chunking.by_size(rows, 1 << 30, 1)).select("session", "transcript")
 
 
-FOLDED = f"""{OPS}, f AS (SELECT session, msg_id, turn, participant, CASE WHEN turn % 3 = 1 AND 1000 + turn <= {{till}} THEN upper(text) ELSE text END AS text FROM c WHERE 10 * turn <= {{till}} AND NOT (turn % 5 = 4 AND 2000 + turn <= {{till}}) AND NOT ({{till}} >= 3000 AND conv_id % 4 = 0 AND turn <= 1))"""
+FOLDED = f"""{OPS}, f AS (SELECT session, msg_id, turn, participant, CASE WHEN turn % 3 = 1 AND 1000 + turn <= {{till}} THEN 'edited: ' || text ELSE text END AS text FROM c WHERE 10 * turn <= {{till}} AND NOT (turn % 5 = 4 AND 2000 + turn <= {{till}}) AND NOT ({{till}} >= 3000 AND conv_id % 4 = 0 AND turn <= 1))"""
 
 
 @query(f"WITH {FOLDED.format(till=9999)} SELECT session, msg_id, row_number() OVER (PARTITION BY session ORDER BY turn) - 1 AS pos, participant, text FROM f")
@@ -203,7 +203,7 @@ def _entries(spark, sf_dir) -> DataFrame:
     return m.select("session", F.concat(F.lit("ctx-"), "msg_id").alias("entry_id"), F.col("pos").cast("long").alias("seq"), F.col("msg_id").alias("source_msg_id"), relation.alias("source_relation"), "participant", "content", F.lit(False).alias("cache_marker"))
 
 
-@query(f"WITH {CONVERSATIONS} SELECT 'ctx-' || msg_id AS entry_id, pos AS index, CASE WHEN pos % 4 IN (0, 3) AND turn % 3 = 1 THEN upper(text) WHEN pos % 4 = 0 OR pos % 4 = 3 THEN text ELSE text END AS text FROM m")
+@query(f"WITH {CONVERSATIONS} SELECT 'ctx-' || msg_id AS entry_id, pos AS index, CASE WHEN pos % 4 IN (0, 3) AND turn % 3 = 1 THEN 'edited: ' || text ELSE text END AS text FROM m")
 def propagate_edit(spark, sf_dir) -> DataFrame:
     changed = operation_log(spark, sf_dir).filter("op = 'edit'").select("session", "msg_id", "content")
     out = context_log.indexed(context_log.propagate_edits(_entries(spark, sf_dir), changed))
@@ -235,8 +235,8 @@ def blob_dedup(spark, sf_dir) -> DataFrame:
 
 @query(f"""WITH {CONVERSATIONS}, k AS (SELECT *, sum(tokens) OVER (PARTITION BY session ORDER BY pos DESC) AS s FROM m), p AS (SELECT session, participant, text, row_number() OVER (PARTITION BY session ORDER BY pos) - 1 AS o FROM k WHERE s <= 300),
 a AS (SELECT *, max(CASE WHEN lower(participant) = 'user' THEN o END) OVER (PARTITION BY session) AS u, max(o) OVER (PARTITION BY session) AS l FROM p),
-x AS (SELECT session, participant, text, o AS at, 1 AS slot FROM a UNION ALL SELECT DISTINCT session, 'injection:rag', 'facts', u, 0 FROM a WHERE u IS NOT NULL UNION ALL SELECT DISTINCT session, 'injection:tools', 'hints', coalesce(u, l), 2 FROM a)
-SELECT session, participant, text, row_number() OVER (PARTITION BY session ORDER BY at, slot) - 1 AS out_pos FROM x""")
+x AS (SELECT session, participant, text, o AS place, 1 AS slot FROM a UNION ALL SELECT DISTINCT session, 'injection:rag', 'facts', u, 0 FROM a WHERE u IS NOT NULL UNION ALL SELECT DISTINCT session, 'injection:tools', 'hints', coalesce(u, l), 2 FROM a)
+SELECT session, participant, text, row_number() OVER (PARTITION BY session ORDER BY place, slot) - 1 AS out_pos FROM x""")
 def injections(spark, sf_dir) -> DataFrame:
     kept = selection.passthrough(zones.measured(conversation_messages(spark, sf_dir)), 300)
     entries = kept.select("session", F.col("out_pos").cast("long").alias("out_pos"), F.col("msg_id").alias("source_msg_id"), F.lit("copy").alias("source_relation"), "participant", "content", F.lit(False).alias("cache_marker"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators import chunking, pyramid, selection, zones
+from threadloom.sources.tables import kept
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,7 @@ class Autobiographical:
         return chunking.with_existing(found, done)
 
     def _done(self, found: DataFrame, state: State) -> DataFrame:
-        empty = found.limit(0).select("session", "chunk_key", F.lit(None).cast("string").alias("summary_id"), F.lit(None).cast("string").alias("diary"))
+        empty = found.limit(0).select("session", F.lit(None).cast("string").alias("chunk_key"), F.lit(None).cast("string").alias("summary_id"), F.lit(None).cast("string").alias("diary"))
         if state.summaries is not None:
             own = state.summaries.filter("level = 1").groupBy("session", F.array_join("source_ids", ":").alias("chunk_key")).agg(F.min_by("id", "ord").alias("summary_id"))
             empty = empty.unionByName(own.withColumn("diary", F.lit(None).cast("string")))
@@ -128,24 +129,27 @@ class Autobiographical:
 
     def select(self, messages: DataFrame, state: State, budget: Budget) -> DataFrame:
         c = self.config
-        z = self.zoned(messages, state)
         if c.hierarchical:
+            z = self.zoned(messages, state)
+            z = z if state.summaries is None else kept(z, "zones")
             return selection.hierarchical(z, state.summaries, budget.max_tokens, budget.reserve, c.max_message_tokens, c.label, c.participant, **self.levels())
-        found = self.chunks(messages, state)
-        return selection.single_level(z, self.chunked(messages, state), found.select("session", "chunk_no", "diary"), budget.max_tokens, budget.reserve, c.max_message_tokens, c.label, c.participant)
+        z = kept(self.zoned(messages, state), "zones")
+        rows = kept(self.chunked(messages, state), "chunked")
+        found = chunking.with_existing(chunking.chunks(rows, self.size, self.old_enough()), self._done(rows, state))
+        return selection.single_level(z, rows, found.select("session", "chunk_no", "diary"), budget.max_tokens, budget.reserve, c.max_message_tokens, c.label, c.participant)
 
     def tick(self, messages: DataFrame, state: State) -> State:
         """One batch: all pending chunks, then all full groups of each level."""
         c = self.config
-        pending = self.chunks(messages, state).filter("not compressed")
+        pending = kept(self.chunks(messages, state).filter("not compressed"), "pending-chunks")
         if not c.hierarchical:
             pending = pending.withColumn("target_tokens", F.lit(c.summary_target_tokens)).withColumn("prompt", pyramid.instruction(F.col("phase"), c.summary_target_tokens))
             made = pending.withColumn("diary", self.summarise(pending)).select("session", "chunk_key", "diary")
             return replace(state, diaries=made if state.diaries is None else state.diaries.select("session", "chunk_key", "diary").unionByName(made))
         before = state.summaries if state.summaries is not None else messages.sparkSession.createDataFrame([], pyramid.SCHEMA)
-        after = before.select(*pyramid.COLUMNS).unionByName(pyramid.compress(pending, before, c.summary_target_tokens, self.summarise))
+        after = kept(before.select(*pyramid.COLUMNS).unionByName(pyramid.compress(pending, before, c.summary_target_tokens, self.summarise)), "summaries")
         for level in (2, 3):
-            after = pyramid.merge(after, level, c.merge_threshold, c.summary_target_tokens, self.summarise, self.phases)
+            after = kept(pyramid.merge(after, level, c.merge_threshold, c.summary_target_tokens, self.summarise, self.phases), "summaries")
         return replace(state, summaries=after)
 
     phases = False

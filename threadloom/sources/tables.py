@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write to the folder that driver and executors share (``spark.checkpoint.dir``) and read back.
+
+    Cuts a plan that later steps would repeat, at a table that outlives executors.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="threadloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/threadloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session, msg_id, pos, participant, content): one text block a turn."""
     c = table(spark, sf_dir, "conversations")
@@ -40,7 +59,7 @@ def operation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     2000 + turn, and the first two turns of every fourth conversation removed as a range at 3000."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), "conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("msg_id"), F.col("role").alias("participant"), "text")
     add = message_log.adds(c.withColumn("seq", 10 * F.col("turn")).withColumn("content", B.text_content(F.col("text"))))
-    edit = message_log.adds(c.filter("turn % 3 = 1").withColumn("seq", 1000 + F.col("turn")).withColumn("content", B.text_content(F.upper("text")))).withColumn("op", F.lit("edit"))
+    edit = message_log.adds(c.filter("turn % 3 = 1").withColumn("seq", 1000 + F.col("turn")).withColumn("content", B.text_content(F.concat(F.lit("edited: "), "text")))).withColumn("op", F.lit("edit"))
     gone = message_log.adds(c.filter("turn % 5 = 4").withColumn("seq", 2000 + F.col("turn")).drop("text")).withColumn("op", F.lit("remove"))
     span = c.filter("turn = 0 and conv_id % 4 = 0").withColumn("seq", F.lit(3000)).withColumn("to_msg_id", F.concat_ws("-", "conv_id", F.lit(1)))
     return add.unionByName(edit).unionByName(gone).unionByName(message_log.adds(span.drop("text")).withColumn("op", F.lit("remove_range")))
