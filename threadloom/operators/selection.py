@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import blocks as B
-from threadloom.operators.zones import BACKWARD, FORWARD, SESSION
+from threadloom.operators.zones import backward, forward, session
 
 ENTRY = ["session", "part", "ord", "source_msg_id", "source_relation", "participant", "content", "cache_marker"]
 #: Label of the turn that asks for summaries; whoever answers it is configured (fixed values).
@@ -27,9 +27,9 @@ def passthrough(measured: DataFrame, max_tokens: int, reserve: int = 0) -> DataF
 
     If everything fits, every suffix does, so filling from the front first would choose the same rows.
     """
-    suffix = F.sum("tokens").over(BACKWARD)
+    suffix = F.sum("tokens").over(backward())
     kept = measured.withColumn("_s", suffix).filter(F.col("_s") <= available(max_tokens, reserve)).drop("_s")
-    return kept.withColumn("index", F.col("pos")).withColumn("out_pos", F.row_number().over(SESSION.orderBy("pos")) - 1)
+    return kept.withColumn("index", F.col("pos")).withColumn("out_pos", F.row_number().over(session().orderBy("pos")) - 1)
 
 
 def _copies(rows: DataFrame, part: int, cap: int, marker: Column | None = None) -> DataFrame:
@@ -40,31 +40,31 @@ def head(zoned: DataFrame, budget: int, cap: int = 0) -> DataFrame:
     """Add head_out (emitted from the head), head_used (its tokens) and charge (tokens of each row when emitted)."""
     charge = B.capped_tokens(F.col("tokens"), cap)
     inside = (F.col("pos") >= F.col("head_start")) & (F.col("pos") < F.col("head_end"))
-    z = zoned.withColumn("charge", charge).withColumn("_h", F.when(inside, F.sum(F.when(inside, charge).otherwise(0)).over(FORWARD)))
+    z = zoned.withColumn("charge", charge).withColumn("_h", F.when(inside, F.sum(F.when(inside, charge).otherwise(0)).over(forward())))
     z = z.withColumn("head_out", F.coalesce(F.col("_h") <= budget, F.lit(False)))
-    return z.withColumn("head_used", F.coalesce(F.max(F.when(F.col("head_out"), F.col("_h"))).over(SESSION), F.lit(0))).drop("_h")
+    return z.withColumn("head_used", F.coalesce(F.max(F.when(F.col("head_out"), F.col("_h"))).over(session()), F.lit(0))).drop("_h")
 
 
 def head_entries(with_head: DataFrame, cap: int = 0) -> DataFrame:
     """Head rows; the last of them marks the cache boundary."""
     rows = with_head.filter("head_out")
-    return _copies(rows, 0, cap, F.col("pos") == F.max("pos").over(SESSION))
+    return _copies(rows, 0, cap, F.col("pos") == F.max("pos").over(session()))
 
 
 def recent_rows(with_head: DataFrame, budget: int, used: Column) -> DataFrame:
     """Recent rows that fit beside ``used`` tokens, the oldest going first, without leading orphaned tool results."""
     rows = with_head.filter(F.col("pos") >= F.greatest("recent_start", "head_end"))
-    rows = rows.withColumn("_r", F.sum("charge").over(BACKWARD)).filter(F.col("_r") + used <= budget)
+    rows = rows.withColumn("_r", F.sum("charge").over(backward())).filter(F.col("_r") + used <= budget)
     orphan = F.col("has_result") & ~F.col("has_use")
-    return rows.withColumn("_first", F.min(F.when(~orphan, F.col("pos"))).over(SESSION)).filter(F.col("pos") >= F.col("_first")).drop("_r", "_first")
+    return rows.withColumn("_first", F.min(F.when(~orphan, F.col("pos"))).over(session())).filter(F.col("pos") >= F.col("_first")).drop("_r", "_first")
 
 
 def trimmed(entries: DataFrame) -> DataFrame:
     """Without tool uses at the end that have no result; numbered as out_pos."""
-    order = SESSION.orderBy("part", "ord")
+    order = session().orderBy("part", "ord")
     out = entries.withColumn("_k", F.row_number().over(order) - 1)
     dangling = B.has_tool_use() & ~B.has_tool_result()
-    out = out.withColumn("_last", F.max(F.when(~dangling, F.col("_k"))).over(SESSION)).filter(F.col("_k") <= F.col("_last"))
+    out = out.withColumn("_last", F.max(F.when(~dangling, F.col("_k"))).over(session())).filter(F.col("_k") <= F.col("_last"))
     return out.withColumn("out_pos", F.col("_k").cast("long")).drop("_k", "_last")
 
 
@@ -101,7 +101,7 @@ def waterfall(shown: DataFrame, used: DataFrame, budget: int, l3: int = 30000, l
     def picked(s: DataFrame, level: int, own: Column, before: Column, name: str) -> DataFrame:
         fits = (F.col("level") == level) & (F.col("_run") <= own) & (F.col("_run") + before <= room)
         s = s.withColumn(f"_ok{level}", fits)
-        return s.withColumn(name, F.coalesce(F.max(F.when(fits, F.col("_run"))).over(SESSION), F.lit(0)))
+        return s.withColumn(name, F.coalesce(F.max(F.when(fits, F.col("_run"))).over(session()), F.lit(0)))
 
     s = picked(s, 3, F.lit(l3), F.lit(0), "_u3")
     s = s.withColumn("_b2", F.lit(l2 + l3) - F.col("_u3"))
@@ -131,9 +131,9 @@ def asymmetric_picks(first: DataFrame, effective: str, research_cap: float = 0.3
         mine = F.col("_group") == group
         f = f.withColumn(f"_t{group}", total).withColumn(f"_f{group}", mine & (F.col("_run") + F.col(f"_t{group}") <= eff) & allowed)
         # a phase ends at its first row that does not fit
-        stopped = F.min(F.when(mine & ~F.col(f"_f{group}"), F.struct("_rank", "ord"))).over(SESSION)
+        stopped = F.min(F.when(mine & ~F.col(f"_f{group}"), F.struct("_rank", "ord"))).over(session())
         f = f.withColumn(f"_f{group}", F.col(f"_f{group}") & (stopped.isNull() | (F.struct("_rank", "ord") < stopped)))
-        f = f.withColumn(f"_t{group}", F.coalesce(F.max(F.when(F.col(f"_f{group}"), F.col("_run"))).over(SESSION), F.lit(0)) + F.col(f"_t{group}"))
+        f = f.withColumn(f"_t{group}", F.coalesce(F.max(F.when(F.col(f"_f{group}"), F.col("_run"))).over(session()), F.lit(0)) + F.col(f"_t{group}"))
         total = F.col(f"_t{group}")
     return f.filter("_f0 or _f1 or _f2 or _f4").drop("_group", *(f"_{x}{g}" for x in "tf" for g in (0, 1, 2, 4)))
 
@@ -209,7 +209,7 @@ def injected(entries: DataFrame, injections: DataFrame) -> tuple[DataFrame, Data
     means every session.  Before and after refer to the last entry of participant "user", whatever its case; without one,
     beforeUser injections go and afterUser ones end the context.
     """
-    anchor = F.max(F.when(F.lower("participant") == "user", F.col("out_pos"))).over(SESSION)
+    anchor = F.max(F.when(F.lower("participant") == "user", F.col("out_pos"))).over(session())
     e = entries.withColumn("_anchor", anchor)
     sessions = e.groupBy("session").agg(F.max("_anchor").alias("_anchor"), F.max("out_pos").alias("_end")).withColumnRenamed("session", "_s")
     near = injections.filter("position <> 'system'").join(sessions, F.col("session").isNull() | (F.col("session") == F.col("_s")))
@@ -218,6 +218,6 @@ def injected(entries: DataFrame, injections: DataFrame) -> tuple[DataFrame, Data
     near = near.select(F.col("_s").alias("session"), F.coalesce("_anchor", F.col("_end")).alias("_at"), slot.alias("_slot"), "ord", F.lit(None).cast("string").alias("source_msg_id"), F.lit(None).cast("string").alias("source_relation"), F.concat(F.lit("injection:"), "namespace").alias("participant"), "content", F.lit(False).alias("cache_marker"))
     own = e.select("session", F.col("out_pos").alias("_at"), F.lit(1).alias("_slot"), F.lit(0).cast("long").alias("ord"), "source_msg_id", "source_relation", "participant", "content", "cache_marker")
     messages = own.unionByName(near.withColumn("ord", F.col("ord").cast("long")))
-    messages = messages.withColumn("out_pos", F.row_number().over(SESSION.orderBy("_at", "_slot", "ord")) - 1).drop("_at", "_slot", "ord")
+    messages = messages.withColumn("out_pos", F.row_number().over(session().orderBy("_at", "_slot", "ord")) - 1).drop("_at", "_slot", "ord")
     system = injections.filter("position = 'system'").select("session", "ord", F.posexplode("content").alias("_i", "block"))
     return messages, system.select("session", "ord", F.col("_i").alias("block_no"), "block")

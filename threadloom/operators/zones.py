@@ -6,14 +6,24 @@ loop that stops at the first overflow equal to a filter on a running sum.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from threadloom.functions import blocks as B
 
-SESSION = Window.partitionBy("session")
-FORWARD = SESSION.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-BACKWARD = SESSION.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+
+def session() -> WindowSpec:
+    return Window.partitionBy("session")
+
+
+def forward() -> WindowSpec:
+    """A session's rows up to the current one."""
+    return session().orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def backward() -> WindowSpec:
+    """A session's rows from the last down to the current one."""
+    return session().orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def measured(messages: DataFrame, estimator: Column | None = None, utf16: bool = False) -> DataFrame:
@@ -42,13 +52,13 @@ def zoned(messages: DataFrame, head_tokens: int, recent_tokens: int, anchors: Da
     """
     m = anchored(messages, anchors)
     at = F.when(F.col("msg_id") == F.col("anchor_id"), F.col("pos"))
-    m = m.withColumn("n", F.count(F.lit(1)).over(SESSION)).withColumn("head_start", F.coalesce(F.max(at).over(SESSION), F.lit(0)))
+    m = m.withColumn("n", F.count(F.lit(1)).over(session())).withColumn("head_start", F.coalesce(F.max(at).over(session()), F.lit(0)))
     in_head = F.col("pos") >= F.col("head_start")
-    m = m.withColumn("_prefix", F.sum(F.when(in_head, F.col("tokens")).otherwise(0)).over(FORWARD)).withColumn("_suffix", F.sum("tokens").over(BACKWARD))
-    m = m.withColumn("_end", F.coalesce(F.min(F.when(in_head & (F.col("_prefix") > head_tokens), F.col("pos"))).over(SESSION), F.col("n")))
-    m = m.withColumn("_start", F.coalesce(F.max(F.when(F.col("_suffix") > recent_tokens, F.col("pos"))).over(SESSION) + 1, F.lit(0)))
-    parted = F.max((F.col("pos") == F.col("_end") - 1) & F.col("has_use")).over(SESSION) & (F.col("_end") < F.col("n")) & (F.col("_end") > F.col("head_start"))
-    orphan = F.max((F.col("pos") == F.col("_start")) & F.col("has_result")).over(SESSION) & (F.col("_start") > 0)
+    m = m.withColumn("_prefix", F.sum(F.when(in_head, F.col("tokens")).otherwise(0)).over(forward())).withColumn("_suffix", F.sum("tokens").over(backward()))
+    m = m.withColumn("_end", F.coalesce(F.min(F.when(in_head & (F.col("_prefix") > head_tokens), F.col("pos"))).over(session()), F.col("n")))
+    m = m.withColumn("_start", F.coalesce(F.max(F.when(F.col("_suffix") > recent_tokens, F.col("pos"))).over(session()) + 1, F.lit(0)))
+    parted = F.max((F.col("pos") == F.col("_end") - 1) & F.col("has_use")).over(session()) & (F.col("_end") < F.col("n")) & (F.col("_end") > F.col("head_start"))
+    orphan = F.max((F.col("pos") == F.col("_start")) & F.col("has_result")).over(session()) & (F.col("_start") > 0)
     m = m.withColumn("head_end", (F.col("_end") - parted.cast("int")) if head_tokens > 0 else F.lit(0))
     m = m.withColumn("recent_start", F.col("_start") - orphan.cast("int"))
     zone = F.when(F.col("pos") >= F.greatest("recent_start", "head_end"), "recent").when(in_head & (F.col("pos") < F.col("head_end")), "head").otherwise("middle")
@@ -58,4 +68,4 @@ def zoned(messages: DataFrame, head_tokens: int, recent_tokens: int, anchors: Da
 def compressible(zoned_messages: DataFrame) -> DataFrame:
     """Rows before the recent window and outside the head, renumbered from 0 as ``idx``."""
     rows = zoned_messages.filter((F.col("pos") < F.col("recent_start")) & ~((F.col("pos") >= F.col("head_start")) & (F.col("pos") < F.col("head_end"))))
-    return rows.withColumn("idx", F.row_number().over(SESSION.orderBy("pos")) - 1)
+    return rows.withColumn("idx", F.row_number().over(session().orderBy("pos")) - 1)
