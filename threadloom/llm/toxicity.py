@@ -77,11 +77,14 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(len(at)))
 
 
-def _sample(rows: DataFrame, most: int, salt: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features of at most about ``most`` texts, chosen by a hash of their ids."""
-    n = rows.count()
+def _chosen(rows: DataFrame, n: int, most: int, salt: str) -> DataFrame:
+    """About ``most`` of n rows, by a hash of doc_id."""
     share = min(1.0, most / n) if n else 1.0
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_003)) < share * 1_000_003).select("doc_id", "text")
+    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_003)) < share * 1_000_003)
+
+
+def _collected(chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the texts of a bounded sample (doc_id, text)."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, 2 << 20):
@@ -166,8 +169,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weights = None
     if n and share:
         texts = docs.filter(~fold).select("doc_id", "text")
-        positive = _sample(texts.join(known.filter("toxic = 1"), "doc_id"), MAX_POSITIVE, "positive")
-        unlabelled = _sample(texts, MAX_UNLABELLED, "unlabelled")
+        # ids are sampled before they meet texts, so MAX_POSITIVE bounds what is broadcast
+        toxic = _chosen(known.filter("toxic = 1"), round(share * n), MAX_POSITIVE, "positive").select("doc_id")
+        positive = _collected(texts.join(F.broadcast(toxic), "doc_id", "left_semi"))
+        unlabelled = _collected(_chosen(texts, texts.count(), MAX_UNLABELLED, "unlabelled"))
         if len(positive[1]) > 1:
             weights = learn(positive, unlabelled, min(0.5, float(share)))
     scored = score(docs.select("doc_id", fold.alias("held_out"), "text"), weights)
