@@ -81,13 +81,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     A cut text keeps its leading words, one space between them, and n_chars follows it.
     """
     rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    plan = mix(rows, carry=("_row",), **options).filter("taken > 0").select("_row", "size", "epochs", "part")
-    copies = F.expr("transform(sequence(1, int(epochs + if(part > 0, 1, 0))), i -> if(i <= epochs, size, part))")
+    plan = mix(rows, carry=("_row",), **options).filter("taken > 0").select("_row", F.col("size").alias("_size"), F.col("epochs").alias("_epochs"), F.col("part").alias("_part"))
+    copies = F.expr("transform(sequence(1, int(_epochs + if(_part > 0, 1, 0))), i -> if(i <= _epochs, _size, _part))")
     rows = rows.join(plan.hint("merge"), "_row").withColumn("_take", F.explode(copies))
+    cut = F.col("_take") < F.col("_size")
     lead = F.expr(r"array_join(slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), 1, int(_take)), ' ')")
-    rows = rows.withColumn("text", F.when(F.col("_take") < F.col("size"), lead).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(cut, lead).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_take") < F.col("size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
 
 

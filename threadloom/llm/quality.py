@@ -89,6 +89,7 @@ def _grouped(stats: DataFrame) -> DataFrame:
     level = F.when(F.col("n") >= MIN_ROWS, 2).when(F.col("m") >= MIN_ROWS, 1).otherwise(0)
     n = n.join(by_lang.withColumnRenamed("lang", "_m"), F.col("lang").eqNullSafe(F.col("_m"))).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), level.alias("_level"))
     own = F.when(F.col("_level") == 2, F.concat(F.lit("2:"), F.to_json(F.struct("lang", "source")))).when(F.col("_level") == 1, F.concat(F.lit("1:"), F.to_json(F.struct("lang"))))
+    n = saved(n, "groups")
     return stats.join(n, stats["lang"].eqNullSafe(n["_l"]) & stats["source"].eqNullSafe(n["_s"]), "left").withColumn("grp", F.coalesce(own, F.lit("0:"))).drop("_l", "_s", "_level")
 
 
@@ -137,7 +138,7 @@ def _concentrated(distances: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Statistics of every document, with ``distance2`` (null if the base rule fails) and ``kept``."""
-    stats = saved(_grouped(saved(statistics(docs, carry), "statistics")), "grouped")
+    stats = _grouped(saved(statistics(docs, carry), "statistics"))
     sound = stats.filter("not base_failed").select("grp", *(f"x{i}" for i in range(1, DIM + 1)))
     # start: distance from the medians (of counted values), each statistic on the scale of its floor
     values = sound.select("grp", F.explode(F.expr(f"array({', '.join(f'struct({i} as i, floor(x{i} / 100) as v)' for i in range(1, DIM + 1))})")).alias("e")).groupBy("grp", "e").count()
@@ -155,8 +156,8 @@ def verdicts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, all columns."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "lang", "source"))
-    return verdicts(docs, others).filter("kept").select(*docs.columns)
+    rows = docs.select("doc_id", "text", "lang", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return verdicts(rows, ("_row",)).filter("kept").select("_row.*")
 
 
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
