@@ -42,9 +42,9 @@ def duck():
 
 
 def rows_of(frame):
-    """Rows as a sorted list of strings, columns by name."""
+    """Rows as a sorted list of strings, columns by name; whole floats count as integers, as pandas turns these to floats beside nulls."""
     columns = sorted(frame.columns)
     out = []
     for row in frame[columns].astype(object).where(frame[columns].notna(), None).values.tolist():
-        out.append(repr([float(x) if isinstance(x, float) else x.item() if hasattr(x, "item") else x for x in row]))
+        out.append(repr([int(x) if isinstance(x, float) and x.is_integer() else x.item() if hasattr(x, "item") else x for x in row]))
     return columns, sorted(out)
