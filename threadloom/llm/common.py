@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -29,9 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths handed out in this process and not deleted since.
+_handed: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
+    _handed.append(f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}")
+    return _handed[-1]
+
+
+def handed_out() -> list[str]:
+    """Paths of all tables and files so far; a later list less an earlier one is what was made in between."""
+    return list(_handed)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -45,11 +57,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables and files that this subpackage left in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/threadloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete these tables and files, or all that this process made; DataFrames that read them can't be used any more."""
+    for name in handed_out() if paths is None else paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if name in _handed:
+            _handed.remove(name)
 
 
 def positions(df: DataFrame, order: list, name: str, value: str | None = None) -> DataFrame:
@@ -77,6 +91,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept, and idle ones should not hold what other stages need."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, max_bytes: int, column: str = "text"):
     """Record batches cut into pieces of about ``max_bytes`` of text (at least a row each)."""
     for batch in batches:
@@ -87,6 +108,7 @@ def slices(batches, max_bytes: int, column: str = "text"):
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def put_file(folder: str, name: str, data: bytes) -> str:

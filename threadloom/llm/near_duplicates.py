@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import saved, slices, text_bytes
+from threadloom.llm.common import give_back, saved, slices, text_bytes
 
 SHINGLE = 5
 TREES, MAX_DEPTH = 16, 8
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, d: int) -> DataFrame:
     """(doc_id, h1, h2, n, nodes): hash and size of the set, and the node of depth d in each tree; none without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, 4 << 20):
+        for piece in slices(batches, 1 << 20):
             sets, at = shingle_sets(piece.column("text"))
             own = np.flatnonzero(np.diff(at))
             if not len(own):
@@ -241,7 +241,7 @@ def join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995) -> Da
     texts = docs.join(chosen, docs["doc_id"] == chosen["_r"]).select("doc_id", "text").dropDuplicates(["doc_id"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, 4 << 20):
+        for piece in slices(batches, 1 << 20):
             values, at = shingle_sets(piece.column("text"))
             raw = memoryview(np.ascontiguousarray(values).tobytes())
             yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array([raw[8 * a : 8 * b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], names=["_r", "set"])
@@ -274,6 +274,8 @@ def join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995) -> Da
                 held.append(row)
         if held:
             yield done(held)
+        held = []
+        give_back()
 
     dealt = full.repartition("unit").sortWithinPartitions("unit")
     found = saved(dealt.mapInArrow(verify, "rep long, links long, root long"), "links")
