@@ -1,36 +1,59 @@
 """A corpus pipeline: quality rules, near duplicates, decontamination, mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and gives
-the reread table to the next stage.  All stages but the last return the columns of documents.
+the reread table to the next stage.  All stages but the last return the columns of documents.  A stage first deletes the
+helper tables of the stage before: its docs are that one's written result, so nothing reads them any more.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from threadloom.llm import decontaminate, mixing, near_duplicates, quality, token_ids
-from threadloom.llm.common import saved, table
+from threadloom.llm.common import handed_out, release, saved, table
 from threadloom.llm.queries import tokenizer_path
 
 
+_left: list[str] = []
+
+
+def stage(f):
+    @wraps(f)
+    def run_stage(spark, docs, sf_dir):
+        release(spark, _left)
+        before = set(handed_out())
+        found = f(spark, docs, sf_dir)
+        _left[:] = [path for path in handed_out() if path not in before]
+        return found
+
+    return run_stage
+
+
+@stage
 def quality_rules(spark, docs, sf_dir):
     """Rejected documents go."""
     return quality.kept(docs)
 
 
+@stage
 def near_duplicate_join(spark, docs, sf_dir):
     """Of each group of linked documents the one with the smallest id stays."""
     return near_duplicates.distinct(docs)
 
 
+@stage
 def benchmark_decontamination(spark, docs, sf_dir):
     """Documents with at least a twentieth of their words in benchmark passages go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def target_mix(spark, docs, sf_dir):
     """Documents are taken, and repeated, up to each source's budget."""
     return mixing.mixed(docs)
 
 
+@stage
 def token_id_files(spark, docs, sf_dir):
     """Texts become shards of token ids; rows tell what the files hold."""
     return token_ids.decode(token_ids.encode(docs, tokenizer_path()))
@@ -50,6 +73,6 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, function in STAGES:
+        docs = saved(function(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
