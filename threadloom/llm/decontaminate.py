@@ -6,8 +6,8 @@ kept fingerprints loses no shared span.  A match fixes how document and item lin
 line extends it and settles exactly which windows occur.  Items of fewer than SPAN words are matched whole, by
 the hash of all their words.  Everything is DataFrame operations.
 
-The fingerprints of the benchmark are broadcast while there are at most BROADCAST_ROWS of them, and so are the ids
-of documents with matches; beyond that the same joins shuffle.
+The fingerprints of the benchmark are broadcast while there are at most BROADCAST_ROWS of them, so are the ids of
+documents with matches, and the items while they have at most as many words; beyond that the same joins shuffle.
 
 Nulls and edge cases: null and empty texts have no words; items without words match nothing; item ids count
 once however many rows they have, and a null item id is the string "null"; repeated documents get equal rows;
@@ -73,7 +73,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids = lines.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
     found = _words(texts.join(_small(ids), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "text_hash"]))
     found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("w").alias("dw"))
-    both = lines.join(_small(items.withColumnRenamed("w", "iw")), ["item_id", "item_hash"]).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))
+    brief = (items.agg(F.sum(F.size("w"))).first()[0] or 0) <= BROADCAST_ROWS
+    named_words = items.withColumnRenamed("w", "iw")
+    both = lines.join(F.broadcast(named_words) if brief else named_words, ["item_id", "item_hash"]).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))
     both = both.select("doc_id", "text_hash", "item_id", "shift", F.expr(f"least({SPAN}, size(iw))").alias("length"), F.expr("transform(iw, (x, j) -> coalesce(x = get(dw, shift + j), false))").alias("_m"))
     starts = "transform(filter(sequence(0, size(_m) - length), j -> forall(slice(_m, j + 1, length), x -> x)), j -> j + shift)"
     return both.withColumn("starts", F.expr(starts)).filter("size(starts) > 0").select("doc_id", "text_hash", "item_id", "starts", "length")

@@ -60,6 +60,8 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
     bits = BITS
     while len(langs) * (4 << bits) > MATRIX_BYTES and bits > 8:
         bits -= 1
+    if len(langs) * (4 << bits) > MATRIX_BYTES:
+        raise ValueError(f"{len(langs)} different labels can't be languages")
     if not langs:
         return [], np.zeros((1, 0), np.float32), bits
     code = {lang: k for k, lang in enumerate(langs)}
