@@ -128,7 +128,8 @@ def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def _concentrated(distances: DataFrame) -> DataFrame:
     """Estimate of each group from its closest documents, given (grp, x1 ... x4, d2)."""
-    bins = distances.withColumn("bin", F.expr(BIN)).groupBy("grp", "bin").agg(*(F.expr(sql).alias(c) for c, sql in SUMS.items()))
+    # saved, as else one shuffle by grp would serve the sums too and bring a large group's partial sums to one task
+    bins = saved(distances.withColumn("bin", F.expr(BIN)).groupBy("grp", "bin").agg(*(F.expr(sql).alias(c) for c, sql in SUMS.items())), "bins")
     till = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     sums = bins.select("grp", "bin", F.sum("n").over(Window.partitionBy("grp")).alias("total"), *(F.sum(c).over(till).cast("double").alias(c) for c in SUMS))
     first = Window.partitionBy("grp").orderBy("bin")
@@ -142,6 +143,7 @@ def verdicts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     sound = stats.filter("not base_failed").select("grp", *(f"x{i}" for i in range(1, DIM + 1)))
     # start: distance from the medians (of counted values), each statistic on the scale of its floor
     values = sound.select("grp", F.explode(F.expr(f"array({', '.join(f'struct({i} as i, floor(x{i} / 100) as v)' for i in range(1, DIM + 1))})")).alias("e")).groupBy("grp", "e").count()
+    values = saved(values, "values")
     till = Window.partitionBy("grp", "e.i").orderBy("e.v")
     counted = values.withColumn("c", F.sum("count").over(till.rowsBetween(Window.unboundedPreceding, 0))).withColumn("t", F.sum("count").over(Window.partitionBy("grp", "e.i")))
     middle = counted.filter("2 * c >= t").groupBy("grp").agg(*(F.expr(f"min(if(e.i = {i}, e.v, null)) * 100.0D + 50.0D").alias(f"m{i}") for i in range(1, DIM + 1)))
