@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 from string import punctuation
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import get_file, positions, put_file, saved, scratch, slices
 
+ID = attrgetter("id")
 MAGIC = b"TLS8ID01"
 BLOCK = 1024
 SHARD_IDS = 1 << 20
@@ -39,7 +41,7 @@ BITS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 PAD = int(COUNTS.max())
 _WIDTH = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
 #: Words seen twice that a worker caches, and as many words seen once.
-CACHE = 700_000
+CACHE = 400_000
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,12 +51,13 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     blocks = -(-n // block)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.zeros(0, np.uint64)
-    values = np.zeros((blocks, block + PAD), np.uint64)
-    whole = np.zeros(blocks * block, np.uint64)
+    small = ids.max() < 1 << 16
+    values = np.zeros((blocks, block + PAD), np.uint16 if small else np.uint64)
+    whole = np.zeros(blocks * block, values.dtype)
     whole[:n] = ids
     values[:, :block] = whole.reshape(blocks, block)
-    if ids.max() < 1 << 16:
-        width = _WIDTH[values.astype(np.uint16)]
+    if small:
+        width = _WIDTH[values]
     else:
         width = np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # rounding up at 2^53 and beyond only wastes a bit
     widest = {1: width}
@@ -72,12 +75,14 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
         window(p)
         return widest[p]
 
-    choice = np.zeros((blocks, block), np.uint8)
+    # what fits fewer bits and more values fits the next selector too, so counting selectors that fit finds the best one
+    fitting = np.zeros((blocks, block), np.uint8)
     for s in range(len(COUNTS) - 1, 0, -1):
-        fits = window(int(COUNTS[s])) <= BITS[s]
-        if not fits.any():  # then more values of fewer bits fit nowhere
+        fits = window(int(COUNTS[s])) <= np.uint8(BITS[s])
+        if not fits.any():
             break
-        choice[fits] = s
+        fitting += fits.view(np.uint8)
+    choice = (len(COUNTS) - fitting) * (fitting > 0)
     # all blocks step from word to word together
     flat, size = choice.reshape(-1), np.minimum(block, n - np.arange(blocks) * block)
     at, live, steps = np.zeros(blocks, np.int64), np.arange(blocks), []
@@ -87,20 +92,24 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
         at = at + COUNTS[flat[first]]
         on = at < size[live]
         at, live = at[on], live[on]
-    starts = np.sort(np.concatenate(steps))
+    begins = np.zeros(blocks * block, bool)
+    begins[np.concatenate(steps)] = True
+    starts = np.flatnonzero(begins)
     offsets = np.searchsorted(starts, np.arange(blocks + 1) * block).astype(np.uint64)
     selectors = flat[starts].astype(np.int64)
-    places = starts // block * (block + PAD) + starts % block
+    places = starts + starts // block * PAD
     padded = values.reshape(-1)
     words = selectors.astype(np.uint64) << np.uint64(60)
     for s in np.unique(selectors):
         own = np.flatnonzero(selectors == s)
         if s == 0:
-            exceptions = padded[places[own]]
+            exceptions = padded[places[own]].astype(np.uint64)
             words[own] |= np.arange(len(own), dtype=np.uint64)
         elif BITS[s]:
+            place, word = places[own], words[own]
             for k in range(int(COUNTS[s])):
-                words[own] |= padded[places[own] + k] << np.uint64(k * BITS[s])
+                word |= padded[place + k].astype(np.uint64) << np.uint64(k * BITS[s])
+            words[own] = word
     return words, offsets, exceptions if (selectors == 0).any() else np.zeros(0, np.uint64)
 
 
@@ -185,13 +194,13 @@ class Words(dict):
                 self.clear()
             self[word] = ids
         else:
-            letters = word.rstrip(punctuation)
+            letters = word if word.isalpha() else word.rstrip(punctuation)
             if letters.isalpha() and (letters.isascii() or max(letters) < LATIN_END):
-                if len(letters) < len(word):
+                if letters is not word:
                     ids = self[letters] + self.mark(word[len(letters) :])
                 else:
-                    spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-                    ids = array("I", [token.id for token in self.letters(BLANK_LETTER + spelt)]).tobytes()
+                    spelt = word if word.isascii() else word.translate(SPELT)
+                    ids = array("I", map(ID, self.letters(BLANK_LETTER + spelt))).tobytes()
             else:
                 ids = self.whole(" " + word)
             if len(word) <= 32:
@@ -215,6 +224,7 @@ _plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _plain)}
 #: Letters below are letters to every version of Unicode.
 LATIN_END = "\u0250"
+SPELT = {c: chr(c).encode().decode("latin-1").translate(BYTE_LETTERS) for c in range(128, ord(LATIN_END))}
 BLANKS = re.compile(r" \s")
 _words: dict[str, Words] = {}
 
