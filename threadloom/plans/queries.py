@@ -320,7 +320,7 @@ def _ticked(spark, sf_dir, plan):
 
 @query()
 def compile_pyramid(spark, sf_dir) -> DataFrame:
-    """Hierarchical contexts after one pass of summaries, with merges; tested against a loop."""
+    """Hierarchical contexts after one pass of summaries, with merges."""
     m, state = _ticked(spark, sf_dir, plan := Autobiographical(Config(target_chunk_tokens=100, head_window_tokens=60, recent_window_tokens=150, merge_threshold=3, summary_target_tokens=20)))
     entries, _ = compiled(m, plan, state, Budget(600, 100))
     return entries.select("session", "out_pos", "source_msg_id", "source_relation", "participant", F.size("content").alias("blocks"), "cache_marker")
@@ -336,7 +336,7 @@ def compile_knowledge(spark, sf_dir) -> DataFrame:
 
 @query()
 def compile_single_level(spark, sf_dir) -> DataFrame:
-    """Single-level contexts, a diary for every second chunk; tested against a loop."""
+    """Single-level contexts, a diary for every second chunk."""
     plan = Autobiographical(Config(hierarchical=False, target_chunk_tokens=100, head_window_tokens=60, recent_window_tokens=150))
     m = event_messages(spark, sf_dir).drop("metadata_json")
     diaries = plan.chunks(m, State()).filter("chunk_no % 2 = 0").select("session", "chunk_key", F.concat(F.lit("diary "), F.col("chunk_no").cast("string")).alias("diary"))
