@@ -52,6 +52,18 @@ def test_quality_rejects_junk_and_keeps_the_rest(spark):
     assert all(got[i] for i in range(300)) and not any(got[i] for i in range(300, 320))
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_quality_rejects_junk_that_is_a_third_of_a_group(spark, copies):
+    import random
+
+    rng = random.Random(2)
+    clean = [" ".join("abcdefghij"[: rng.randint(2, 9)] + str(rng.randint(0, 999)) for _ in range(120)) for _ in range(400)]
+    varied = [" ".join(w + "###" if rng.random() < 0.9 else w for w in t.split()) for t in clean[:200]]
+    rows = [(i, t, "en", "s", 0, "") for i, t in enumerate(clean + (varied[:1] * 200 if copies else varied))]
+    got = {r["doc_id"]: r["kept"] for r in quality.verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] for i in range(400)) and not any(got[i] for i in range(400, 600))
+
+
 @pytest.mark.parametrize("rows", [DOCS, []])
 def test_mixing_on_awkward_rows(spark, rows):
     d = spark.createDataFrame(rows, SCHEMA)

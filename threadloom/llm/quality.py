@@ -1,8 +1,8 @@
 """Quality rules: robust multivariate outliers by the minimum covariance determinant.
 
 Statistics of each text become a vector of four numbers.  For each language and source, concentration steps
-find the mean and covariance of the three quarters of the documents that lie closest together, and a document
-far from them by Mahalanobis distance is rejected.  Groups of few documents pool with their language's other
+find the mean and covariance of the half of the documents that lie closest together, and a document far from
+them by Mahalanobis distance is rejected.  So up to half of a group, alike or not, can be outliers.  Groups of few documents pool with their language's other
 small groups, then with all of them.
 
 A step is one aggregation: documents are counted and summed by (group, distance bin), with partial sums before the
@@ -26,7 +26,7 @@ from threadloom.llm.common import saved
 #: Documents that a group needs for an estimate of its own.
 MIN_ROWS = 100
 #: Share of a group's documents that an estimate covers, and concentration steps.
-COVERAGE = 0.75
+COVERAGE = 0.5
 STEPS = 6
 #: Chance that a document of a normal population lies beyond the cutoff.
 TAIL = 1e-5
