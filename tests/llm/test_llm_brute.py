@@ -132,6 +132,18 @@ def test_near_duplicates(spark, monkeypatch, unit):
     assert near_duplicates.distinct(frame(spark, rows)).count() == sum(1 for i, _ in rows if i not in want or want[i][2] == i)
 
 
+def test_one_row_of_each_group_stays_where_ids_repeat(spark):
+    far = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcd"]
+    near = far[1] + " end"
+    # a row four times, copies without id, and one id with texts of three groups
+    rows = [(1, far[0])] * 4 + [(None, far[2]), (None, far[2]), (5, far[3]), (5, far[1]), (5, near), (7, near), (8, far[3]), (None, far[0]), (None, ""), (9, None), (9, None)]
+    stay = [(r["doc_id"], r["text"]) for r in near_duplicates.distinct(frame(spark, rows)).collect()]
+    assert sorted((r for r in stay if r[1] not in (far[1], near)), key=key) == sorted([(1, far[0]), (None, far[2]), (5, far[3]), (None, ""), (9, None), (9, None)], key=key)
+    assert [i for i, t in stay if t in (far[1], near)] == [5]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"], r["cluster_id"]) for r in near_duplicates.join(frame(spark, rows)).collect() if r["doc_id"] in (1, 5, 7, 8))
+    assert got == [(1, 1, 3, 1)] * 4 + [(5, 5, 1, 5), (5, 5, 2, 5), (5, 5, 2, 5), (7, 5, 2, 5), (8, 5, 1, 5)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates.join(frame(spark, [])).count() == 0
 

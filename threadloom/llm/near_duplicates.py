@@ -12,9 +12,12 @@ matrix.  Components of more than UNIT classes are cut instead: every node is a u
 into pairs of blocks, and a pair counts only in the first tree that it shares.  So nothing unbounded meets in one task,
 and no pair is dropped or written out: what leaves a unit is a link count and a star for each class.
 
-Nulls and edge cases: texts without words match nothing, not even each other; rows without an id are not compared and
-keep null ids; repeated rows are copies of each other, and rows of one id with different texts count as one node; an
-empty table gives no rows; other columns are not read.
+Rows are told apart by a key of id and text, classes by numbers of their own; ids come back in the result only.
+
+Nulls and edge cases: texts without words match nothing, not even each other; join() does not compare rows without an id
+and keeps their null ids, distinct() compares them like others and prefers rows with ids; repeated rows are copies of
+each other, and rows of one id with different texts are rows like others; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import give_back, saved, slices, text_bytes
@@ -35,6 +38,7 @@ TREES, MAX_DEPTH = 16, 8
 UNIT = 1024
 UNIT_SHINGLES = 4 << 20
 BLOCK = 512
+KEY = "struct<none: boolean, id: long, text: long>"
 #: Odd multipliers and offsets of the hash functions come from one seeded generator.
 _random = np.random.default_rng(20240601)
 _MULTIPLY = _random.integers(1, 1 << 63, TREES * MAX_DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,8 +118,17 @@ def labels(sets: np.ndarray, at: np.ndarray, d: int) -> np.ndarray:
     return out
 
 
+def row_key() -> Column:
+    """Id and text of a row, in the order of ids, null last; equal for repeated rows only."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
+
+
+def _id(key: str) -> Column:
+    return F.when(~F.col(f"{key}.none"), F.col(f"{key}.id"))
+
+
 def signatures(docs: DataFrame, d: int) -> DataFrame:
-    """(doc_id, h1, h2, n, nodes): hash and size of the set, and the node of depth d in each tree; none without words."""
+    """(key, h1, h2, n, nodes): hash and size of the set, and the node of depth d in each tree; none without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, 1 << 20):
@@ -132,9 +145,9 @@ def signatures(docs: DataFrame, d: int) -> DataFrame:
             for k in range(d):
                 node = _mixed(node * _BASE + label[:, :, k])
             nodes = pa.FixedSizeListArray.from_arrays(pa.array(node.view(np.int64).reshape(-1)), TREES).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(own)).cast(pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.diff(at)), nodes], names=["doc_id", "h1", "h2", "n", "nodes"])
+            yield pa.RecordBatch.from_arrays([piece.column("key").take(pa.array(own)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.diff(at)), nodes], names=["key", "h1", "h2", "n", "nodes"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, h1 long, h2 long, n long, nodes array<long>")
+    return docs.select(row_key().alias("key"), "text").mapInArrow(sign, f"key {KEY}, h1 long, h2 long, n long, nodes array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,21 +222,18 @@ def _compare(nodes: np.ndarray, tree: int, side: np.ndarray, copies: np.ndarray,
             return links, label
 
 
-def join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995) -> DataFrame:
-    """(doc_id, class_id, n_links, cluster_id) of every document.
-
-    class_id: smallest doc_id with an equal set; n_links: other documents of at least that similarity, copies
-    included; cluster_id: smallest doc_id reached over links.  A document without words stands for itself.
-    """
+def clusters(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995) -> DataFrame:
+    """(key, first, n_links, head) of every row with words: the smallest keys of its class and of its cluster."""
     d = depth(similarity, recall)
-    signed = saved(signatures(docs.filter("doc_id is not null"), d), "signatures")
-    classes = signed.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("nodes").alias("nodes"), F.count(F.lit(1)).alias("copies"))
-    classes = saved(classes, "classes")
+    signed = saved(signatures(docs, d), "signatures")
+    classes = signed.groupBy("h1", "h2", "n").agg(F.min("key").alias("first"), F.any_value("nodes").alias("nodes"), F.count(F.lit(1)).alias("copies"))
+    # numbers in place of ids, as an id can have several texts and so be in several classes
+    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     leaves = classes.select("rep", "n", F.posexplode("nodes").alias("tree", "node"))
     heads = saved(leaves.groupBy("tree", "node").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("size > 1"), "heads")
     stars = leaves.join(heads, ["tree", "node"])
     groups = components(stars.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct())
-    placed = groups.join(classes, groups["node"] == classes["rep"]).select("rep", "component", "n", "nodes", "copies")
+    placed = groups.join(classes, groups["node"] == classes["rep"]).select("rep", "first", "component", "n", "nodes", "copies")
     placed = saved(placed, "placed")
     sizes = placed.groupBy("component").agg(((F.count(F.lit(1)) <= UNIT) & (F.sum("n") <= UNIT_SHINGLES)).alias("whole"))
     placed = saved(placed.join(sizes, "component"), "placed")
@@ -237,16 +247,17 @@ def join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995) -> Da
     units = together.unionByName(apart)
     # texts come once to each class; a class in several units is copied by the join that deals units out
     # always by shuffle: the part of the corpus with candidates has no bound that a broadcast could rely on
-    chosen = placed.select(F.col("rep").alias("_r")).hint("merge")
-    texts = docs.join(chosen, docs["doc_id"] == chosen["_r"]).select("doc_id", "text").dropDuplicates(["doc_id"])
+    chosen = placed.select("first", F.col("rep").alias("_r")).hint("merge")
+    keyed = docs.select(row_key().alias("key"), "text")
+    texts = keyed.join(chosen, keyed["key"] == chosen["first"]).select("key", "_r", "text").dropDuplicates(["key"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, 1 << 20):
             values, at = shingle_sets(piece.column("text"))
             raw = memoryview(np.ascontiguousarray(values).tobytes())
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array([raw[8 * a : 8 * b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], names=["_r", "set"])
+            yield pa.RecordBatch.from_arrays([piece.column("_r"), pa.array([raw[8 * a : 8 * b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], names=["_r", "set"])
 
-    members = texts.mapInArrow(sets, "_r long, set binary")
+    members = texts.select("_r", "text").mapInArrow(sets, "_r long, set binary")
     full = units.join(members, units["rep"] == members["_r"]).select("unit", "side", "rep", "copies", "nodes", "set")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,16 +291,34 @@ def join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995) -> Da
     dealt = full.repartition("unit").sortWithinPartitions("unit")
     found = saved(dealt.mapInArrow(verify, "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    clusters = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
-    named = classes.join(links.withColumnRenamed("rep", "_l"), F.col("rep") == F.col("_l"), "left").join(clusters, F.col("rep") == F.col("node"), "left")
-    named = saved(named.select("h1", "h2", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("cluster_id")), "named")
-    linked = signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", F.col("rep").alias("class_id"), "n_links", "cluster_id")
+    joined = saved(components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()), "joined")
+    heads = joined.join(classes, F.col("node") == F.col("rep")).groupBy("component").agg(F.min("first").alias("head"))
+    joined = joined.join(heads, "component").select("node", "head")
+    named = classes.join(links.withColumnRenamed("rep", "_l"), F.col("rep") == F.col("_l"), "left").join(joined, F.col("rep") == F.col("node"), "left")
+    named = saved(named.select("h1", "h2", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("head", "first").alias("head")), "named")
+    return signed.select("key", "h1", "h2").join(named, ["h1", "h2"]).select("key", "first", "n_links", "head")
+
+
+def join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995) -> DataFrame:
+    """(doc_id, class_id, n_links, cluster_id) of every document.
+
+    class_id: smallest doc_id with an equal set; n_links: other documents of at least that similarity, copies
+    included; cluster_id: smallest doc_id reached over links.  A document without words stands for itself.
+    """
+    linked = clusters(docs.filter("doc_id is not null"), similarity, recall)
+    linked = linked.select(_id("key").alias("doc_id"), _id("first").alias("class_id"), "n_links", _id("head").alias("cluster_id"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     bare = docs.filter(F.col("doc_id").isNull() | ~worded).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("cluster_id"))
     return linked.unionByName(bare)
 
 
 def distinct(docs: DataFrame, **options) -> DataFrame:
-    """One document of each cluster, the one with the smallest doc_id, and every document without words; all columns."""
-    drop = saved(join(docs, **options).filter("doc_id <> cluster_id").select(F.col("doc_id").alias("_k")).distinct(), "dropped")
-    return docs.join(drop, docs["doc_id"] == F.col("_k"), "left_anti")
+    """One row of each cluster, with the smallest doc_id (any of those that repeat it and its text), and every row without words; all columns."""
+    found = clusters(docs, **options).filter("n_links > 0").groupBy("key").agg(F.any_value("head").alias("head"), F.count(F.lit(1)).alias("rows"))
+    found = saved(found.filter("key <> head or rows > 1").select(F.col("key").alias("_k"), (F.col("key") == F.col("head")).alias("_stays")), "dropped")
+    keyed = docs.select("*", row_key().alias("_key"))
+    alone = keyed.join(found, F.col("_key") == F.col("_k"), "left_anti").drop("_key")
+    repeated = found.filter("_stays")
+    if not repeated.limit(1).count():
+        return alone
+    return alone.union(keyed.join(repeated, F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key"]).drop("_key"))
