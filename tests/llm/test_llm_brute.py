@@ -297,6 +297,15 @@ def test_toxicity_held_out(spark):
     assert sum(p == t for p, t in held) >= 0.95 * len(held) and all(0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.5) for x in got)
 
 
+def test_toxicity_prior_is_the_share_of_toxic_labels(spark, monkeypatch):
+    priors = []
+    monkeypatch.setattr(toxicity, "learn", lambda positive, unlabelled, prior: priors.append(prior))
+    rows = [(i, int(i % 4 > 0)) for i in range(200)]
+    toxicity.toxicity(frame(spark, [(i, f"word{i}") for i, _ in rows]), spark.createDataFrame(rows, "doc_id long, toxic int"))
+    learnt = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    assert priors == [pytest.approx(sum(learnt) / len(learnt))] and priors[0] > 0.7
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity(frame(spark, TEXTS), none).collect()} == {0.0}

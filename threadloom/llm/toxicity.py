@@ -5,7 +5,9 @@ the sigmoid loss l is estimated as p E_P[l(g)] + max(0, E_U[l(-g)] - p E_P[l(-g)
 the negative class, less what positives would have added to it, never below zero.  Where that term falls below zero, its
 gradient is taken back.  The scorer is linear in the presence of hashed words and word
 stems, those that positives have clearly more or less often than other texts.  Training is numpy on the driver over bounded samples
-(MAX_POSITIVE, MAX_UNLABELLED, chosen by hashes of ids); every text is scored, in its whole length.
+(MAX_POSITIVE, MAX_UNLABELLED, chosen by hashes of ids); every text is scored, in its whole length.  The unlabelled sample
+is a deviation: the unlabelled term of the risk is not estimated on all texts, however large the corpus is.  The prior is
+the share of toxic ones among the labels learnt from.
 
 Nulls and edge cases: null and empty texts have no words and get the score of the bias alone; without a confirmed toxic
 text every score is 0; null labels are unlabelled; rows without an id can't be labelled; ids with several labels
@@ -174,6 +176,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         positive = _collected(texts.join(F.broadcast(toxic), "doc_id", "left_semi"))
         unlabelled = _collected(_chosen(texts, texts.count(), MAX_UNLABELLED, "unlabelled"))
         if len(positive[1]) > 1:
-            weights = learn(positive, unlabelled, min(0.5, float(share)))
+            weights = learn(positive, unlabelled, float(share))
     scored = score(docs.select("doc_id", fold.alias("held_out"), "text"), weights)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
