@@ -15,6 +15,11 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_summaries_hold_whole_texts(spark):
+    texts = {str(r["doc_id"]): r["text"] for r in Q.table(spark, SF, "documents").collect()}
+    assert {r["id"]: r["content"] for r in Q.summary_table(spark, SF).collect()} == texts
+
+
 def test_filters_reach_the_scan(spark):
     plan = Q.table(spark, SF, "conversations").filter("role = 'user'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(role,user)" in plan

@@ -74,4 +74,4 @@ def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = d.withColumn("ord", F.row_number().over(order).cast("long") - 1).withColumn("level", level)
     kids = F.filter(F.array(F.lag("doc_id", 2).over(order), F.lag("doc_id", 1).over(order)), lambda x: x.isNotNull())
     merged = F.when(F.col("doc_id") % 7 == 0, F.lit("gone"))
-    return s.select(F.col("source").alias("session"), "ord", F.col("doc_id").cast("string").alias("id"), "level", F.left("text", F.lit(20)).alias("content"), F.floor(F.col("n_chars") / 40).cast("long").alias("tokens"), (F.col("level") - 1).alias("source_level"), F.transform(kids, lambda x: x.cast("string")).alias("source_ids"), F.lit(None).cast("string").alias("source_first"), F.lit(None).cast("string").alias("source_last"), merged.alias("merged_into"), F.lit(None).cast("timestamp").alias("created"), phase.alias("phase"))
+    return s.select(F.col("source").alias("session"), "ord", F.col("doc_id").cast("string").alias("id"), "level", F.col("text").alias("content"), F.floor(F.col("n_chars") / 40).cast("long").alias("tokens"), (F.col("level") - 1).alias("source_level"), F.transform(kids, lambda x: x.cast("string")).alias("source_ids"), F.lit(None).cast("string").alias("source_first"), F.lit(None).cast("string").alias("source_last"), merged.alias("merged_into"), F.lit(None).cast("timestamp").alias("created"), phase.alias("phase"))
