@@ -11,7 +11,7 @@ wherever they are.  That makes the two parts of the method:
   dictionary, with the number of occurrences from the parse, is corpus order to the depth that matters.
 
 Phrases whose trigger occurs once, in the corpus and in the phrase, need neither: that is all text without copies.  The rest is dealt by trigger in
-groups; a trigger of more than HOT different phrases is not brought together but compared string by string, by 128-bit
+groups; a trigger of more than HOT different phrases (or HOT_BYTES of them) is not brought together but compared string by string, by 128-bit
 hashes and partial counts.  Content is sent once for each different phrase, so thousands of copies cost what one does.
 
 Nulls and edge cases: texts are UTF-8 bytes and a null text is empty; texts shorter than the span keep all bytes;
@@ -38,8 +38,10 @@ GRAM = 32
 MAX_WINDOWS = 4095
 #: A phrase's place: its start, then a bit for a recurring trigger and 12 bits for the number of its strings.
 PLACE_BITS = 13
-#: Different phrases of one trigger that are compared in one task.
-HOT = 4096
+#: Different phrases of one trigger, and their bytes, that are compared in one task.
+HOT, HOT_BYTES = 4096, 2 << 20
+#: Bytes of text that are parsed at once, about; longer texts are parsed in parts.
+PIECE = 1 << 20
 #: Bytes of dictionary that are sorted together, about.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -77,6 +79,7 @@ def parse(data: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM)
     sums[0] = 0
     np.cumsum(_BYTES[data] * power[: len(data)], dtype=np.uint64, out=sums[1:])
     h = sums[gram:] - sums[:-gram]
+    del sums
     h *= back[: len(h)]
     h ^= h >> np.uint64(32)
     h *= np.uint64(_BASE)
@@ -85,7 +88,12 @@ def parse(data: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM)
     low = np.uint64(0xFFF)
     place = np.arange(len(h), dtype=np.uint64) & low
     h &= ~low
-    left, right = _least(h | place, span - gram + 1, n), _least(h | (low ^ place), span - gram + 1, n)
+    left = _least(h | place, span - gram + 1, n)
+    place ^= low
+    h |= place
+    del place
+    right = _least(h, span - gram + 1, n)
+    del h
     sizes = np.diff(at)
     counts = np.maximum(sizes - span + 1, 0)
     doc = np.repeat(np.arange(len(sizes)), counts)
@@ -95,6 +103,7 @@ def parse(data: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM)
         return none, none, none, none, none, none
     window = at[:-1][doc] + place
     left, right = left[window], right[window]
+    del window
     key = left & ~low
     new = np.ones(len(doc), bool)
     new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
@@ -113,6 +122,28 @@ def parse(data: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM)
     return d, start, windows, least != most, key[first].view(np.int64), content.view(np.int64)
 
 
+def segments(data: np.ndarray, at: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in parts of about PIECE bytes: (text number and offset of each part, bytes, offsets of the parts).
+
+    Parts of a long text overlap by span - 1 bytes, so each of its strings starts in exactly one part.
+    """
+    sizes = np.diff(at)
+    if len(data) <= 2 * PIECE:
+        yield np.arange(len(sizes)), np.zeros(len(sizes), np.int64), data, at
+        return
+    parts = [(k, a, min(a + PIECE + span - 1, n)) for k, n in enumerate(sizes.tolist()) for a in range(0, max(n, 1), PIECE)]
+    held, size = [], 0
+    for part in [*parts, None]:
+        if held and (part is None or size >= PIECE):
+            owner, begin, end = (np.array(x, np.int64) for x in zip(*held))
+            raw = np.concatenate([data[at[k] + a : at[k] + b] for k, a, b in held])
+            yield owner, begin, raw, np.concatenate(([0], np.cumsum(end - begin)))
+            held, size = [], 0
+        if part is not None:
+            held.append(part)
+            size += part[2] - part[1]
+
+
 def ranks(data: np.ndarray, depth: int) -> np.ndarray:
     """Rank of every suffix by its first ``depth`` bytes; equal ranks mean equal bytes.  (Near the end, zeros follow.)
 
@@ -159,32 +190,33 @@ def spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text") if unsure else F.col("doc_id"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, 4 << 20):
-            doc, start, windows, again, trigger, form = parse(*text_bytes(piece.column("text")), span, gram)
-            yield pa.RecordBatch.from_arrays([piece.column("key").take(pa.array(doc)), pa.array((start << PLACE_BITS) | (again.astype(np.int64) << (PLACE_BITS - 1)) | windows), pa.array(trigger), pa.array(form)], names=["key", "place", "trigger", "form"])
+        for piece in slices(batches, PIECE):
+            for owner, offset, data, at in segments(*text_bytes(piece.column("text")), span):
+                doc, start, windows, again, trigger, form = parse(data, at, span, gram)
+                start = start + offset[doc]
+                yield pa.RecordBatch.from_arrays([piece.column("key").take(pa.array(owner[doc])), pa.array((start << PLACE_BITS) | (again.astype(np.int64) << (PLACE_BITS - 1)) | windows), pa.array(trigger), pa.array(form)], names=["key", "place", "trigger", "form"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3).compress
-        for piece in slices(batches, 4 << 20):
+        for piece in slices(batches, PIECE):
             data, at = text_bytes(piece.column("text"))
             raw = memoryview(data)
             packed = pa.array([press(raw[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), packed], names=["doc_id", "_key", "packed"])
 
-    def phrases() -> DataFrame:
-        return rows.select("key", "text").mapInArrow(cut, "key long, place long, trigger long, form long")
-
     packed = rows.mapInArrow(pack, "doc_id long, _key long, packed binary")
     again = F.max(F.col("place").bitwiseAND(1 << (PLACE_BITS - 1))) > 0
-    live = saved(phrases().groupBy("trigger").agg(F.count(F.lit(1)).alias("n"), again.alias("again")).filter("n > 1 or again").select("trigger"), "live-triggers")
-    parsed = saved(phrases().join(live.hint("merge"), "trigger"), "parse")
+    phrases = saved(rows.select("key", "text").mapInArrow(cut, "key long, place long, trigger long, form long"), "phrases")
+    live = saved(phrases.groupBy("trigger").agg(F.count(F.lit(1)).alias("n"), again.alias("again")).filter("n > 1 or again").select("trigger"), "live-triggers")
+    parsed = saved(phrases.join(live.hint("merge"), "trigger"), "parse")
     dictionary = saved(parsed.groupBy("trigger", "form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("at")), "dictionary")
     copied = dictionary.filter("n > 1").select("trigger", "form")
     start, windows = F.shiftright("place", PLACE_BITS), F.col("place").bitwiseAND((1 << (PLACE_BITS - 1)) - 1)
     whole = parsed.join(copied.hint("merge"), ["trigger", "form"]).select("key", start.alias("begin"), (start + windows + (span - 1)).alias("end"))
     again = F.max(F.col("at.place").bitwiseAND(1 << (PLACE_BITS - 1))) > 0
-    forms = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("forms"), again.alias("again")).filter("forms > 1 or again")
-    unlike = dictionary.join(forms.hint("merge"), "trigger").select("at.key", F.struct("at.place", "trigger", (F.col("n") == 1).alias("single"), (F.col("forms") > hot).alias("hot")).alias("p"))
+    held = F.sum(F.col("at.place").bitwiseAND((1 << (PLACE_BITS - 1)) - 1) + (span - 1))
+    forms = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("forms"), held.alias("held"), again.alias("again")).filter("forms > 1 or again")
+    unlike = dictionary.join(forms.hint("merge"), "trigger").select("at.key", F.struct("at.place", "trigger", (F.col("n") == 1).alias("single"), ((F.col("forms") > hot) | (F.col("held") > HOT_BYTES)).alias("hot")).alias("p"))
     wanted = unlike.groupBy("key").agg(F.collect_list("p").alias("p"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +239,7 @@ def spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -
 
     content_schema = pa.schema([("trigger", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("single", pa.bool_()), ("hot", pa.bool_()), ("content", pa.binary())])
     texts = wanted.hint("merge").join(packed.drop("doc_id"), F.col("key") == F.col("_key")).select("key", "packed", "p")
-    contents = saved(texts.mapInArrow(fetch, "trigger long, key long, start long, single boolean, hot boolean, content binary"), "phrases")
+    contents = saved(texts.mapInArrow(fetch, "trigger long, key long, start long, single boolean, hot boolean, content binary"), "contents")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: list) -> pa.RecordBatch:
