@@ -59,6 +59,15 @@ def test_removed_spans(spark, options):
     assert removed(frame(spark, TEXTS), **options) == removed_brute(TEXTS, options["span"])
 
 
+def test_removed_spans_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 2000)
+    r = random.Random(6)
+    long = "".join(r.choice("abcdefgh ") for _ in range(9000))
+    rows = [(1, long + "x" + long[2500:7000]), (2, long[100:8000]), (3, "y" * 7000), (4, long[8500:])]
+    docs = spark.createDataFrame([(i, t, "k", "t", 0) for i, t in rows], "doc_id long, text string, key string, trigger string, spans int")
+    assert removed(docs, span=200) == removed_brute(rows, 200)
+
+
 def test_removed_spans_of_documents(spark):
     rows = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in queries.op1_suffix_dedup(spark, SF).collect()), key=key)
@@ -150,6 +159,75 @@ def test_near_duplicates_of_nothing(spark):
 
 def test_depth_shortens_to_the_recall():
     assert near_duplicates.depth(0.8, 0.99) == 6 and near_duplicates.depth(0.8, 0.9995) == 4 and near_duplicates.depth(1.0, 0.9) == near_duplicates.MAX_DEPTH
+    tally = np.zeros(near_duplicates.BINS, np.int64)
+    assert not near_duplicates.recall_reached(tally, 0.8, 8, 0.9995)
+    tally[15] = 100_000
+    assert near_duplicates.recall_reached(tally, 0.8, 8, 0.9995)
+    tally[0] = 5_000
+    assert not near_duplicates.recall_reached(tally, 0.8, 8, 0.9995) and near_duplicates.recall_reached(tally, 0.8, 4, 0.9995)
+
+
+def edited_groups(groups, copies):
+    """Groups of texts whose pairs have similarities from about 0.7 to 0.95."""
+    r = random.Random(7)
+    rows = []
+    for _ in range(groups):
+        words = [f"w{r.randint(0, 10**6)}" for _ in range(120)]
+        for _ in range(copies):
+            own = list(words)
+            for _ in range(r.choice([1, 1, 2])):
+                own[r.randrange(len(own))] = f"z{r.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+def test_links_depend_on_no_unit_size_and_reach_the_recall(spark, monkeypatch):
+    rows = edited_groups(20, 12)
+    want = sum(n for _, n, _ in near_brute(rows).values())
+    found = {}
+    for unit in (1024, 4):
+        monkeypatch.setattr(near_duplicates, "UNIT", unit)
+        found[unit] = sorted((r["doc_id"], r["n_links"], r["cluster_id"]) for r in near_duplicates.join(frame(spark, rows), recall=0.9).collect())
+    assert found[4] == found[1024]
+    assert 0.9 * want <= sum(n for _, n, _ in found[4]) <= want
+
+
+@pytest.mark.parametrize("edges", [0, 1 << 17])
+def test_components(spark, monkeypatch, edges):
+    monkeypatch.setattr(near_duplicates, "EDGES", edges)
+    r = random.Random(8)
+    pairs = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 120)] + [(200, k) for k in range(150, 170)]
+    top = {x: x for p in pairs for x in p}
+    for _ in top:
+        for a, b in pairs:
+            top[a] = top[b] = min(top[a], top[b])
+    got = near_duplicates.components(spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == {x: t for x, t in top.items() if any(a != b and x in (a, b) for a, b in pairs)}
+
+
+def test_trie_nodes_are_runs_of_common_prefixes(spark):
+    r = random.Random(3)
+    rows = []
+    for rep in range(300):
+        label = []
+        for _ in range(near_duplicates.TREES):
+            h = [r.choice([0, 1, 0xFFFF]) if k > 1 else r.choice([0, 0x8000, 5]) for k in range(8)]
+            for half in (h[:4], h[4:]):
+                x = sum(v << (48 - 16 * k) for k, v in enumerate(half)) ^ (1 << 63)
+                label.append(x - (1 << 64) if x >= 1 << 63 else x)
+        rows.append((rep, 5, label))
+    leaves = near_duplicates.trie(spark.createDataFrame(rows, "rep long, n long, labels array<long>").repartition(3), [8, 6, 3])
+    got = {(x["rep"], x["tree"]): x["nodes"] for x in leaves.collect()}
+    for k, d in enumerate((8, 6, 3)):
+        prefix = {(rep, t): (t, *[(label[2 * t + j // 4] >> (48 - 16 * (j % 4))) & 0xFFFF for j in range(d)]) for rep, _, label in rows for t in range(near_duplicates.TREES)}
+        runs, nodes = collections.defaultdict(set), collections.defaultdict(set)
+        for leaf, p in prefix.items():
+            runs[p].add(leaf)
+        for leaf, own in got.items():
+            nodes[own[k]].add(leaf)
+        if d == 3:
+            assert sorted(map(sorted, nodes.values())) == sorted(sorted(v) for v in runs.values() if len(v) > 1)
+        assert all(len({prefix[x] for x in v}) == 1 for v in nodes.values()) and len(nodes) == len({prefix[x] for x in got})
 
 
 # token ids
