@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import os
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -21,29 +22,42 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the cluster names none (tests, a laptop) a temporary folder is set for this session.
+    Where it is unset, a temporary folder is set for the session if all of it runs on this machine; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-#: Paths handed out in this process and not deleted since.
-_handed: list[str] = []
+#: Per thread, paths of helper tables that were handed out and not deleted since; so two runs at once keep apart.
+_own = threading.local()
+
+
+def _handed() -> list[str]:
+    if not hasattr(_own, "paths"):
+        _own.paths = []
+    return _own.paths
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    _handed.append(f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}")
-    return _handed[-1]
+    """A path in the shared folder that nothing else uses, for a helper table that ``release`` may delete."""
+    _handed().append(product(spark, name))
+    return _handed()[-1]
+
+
+def product(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses, for files that stay."""
+    return f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
 
 
 def handed_out() -> list[str]:
-    """Paths of all tables and files so far; a later list less an earlier one is what was made in between."""
-    return list(_handed)
+    """Paths of this thread's helper tables so far; a later list less an earlier one is what was made in between."""
+    return list(_handed())
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -58,12 +72,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete these tables and files, or all that this process made; DataFrames that read them can't be used any more."""
-    for name in handed_out() if paths is None else paths:
+    """Delete these helper tables, or all of this thread; DataFrames that read them can't be used any more.
+
+    Results are lazy, so only who has written or collected one can tell that its helper tables are no longer needed.
+    """
+    for name in handed_out() if paths is None else list(paths):
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        if name in _handed:
-            _handed.remove(name)
+        if name in _handed():
+            _handed().remove(name)
 
 
 def positions(df: DataFrame, order: list, name: str, value: str | None = None) -> DataFrame:
@@ -111,11 +128,17 @@ def slices(batches, max_bytes: int, column: str = "text"):
     give_back()
 
 
-def put_file(folder: str, name: str, data: bytes) -> str:
-    """Write a file under a name of its own, then move it: a lost or repeated task leaves no half-written file."""
+def _store(path: str):
+    """Arrow's file system of a path, and the path in it; the names that Hadoop's S3 client goes by are S3 to Arrow."""
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(folder)
+    scheme, found, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if found and scheme in ("s3a", "s3n") else path)
+
+
+def put_file(folder: str, name: str, data: bytes) -> str:
+    """Write a file under a name of its own, then move it: a lost or repeated task leaves no half-written file."""
+    store, root = _store(folder)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(part := f"{root}/.{name}.{uuid.uuid4().hex}", compression=None) as out:
         out.write(data)
@@ -124,9 +147,7 @@ def put_file(folder: str, name: str, data: bytes) -> str:
 
 
 def get_file(path: str) -> bytes:
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = _store(path)
     with store.open_input_stream(at, compression=None) as source:
         return source.read()
 

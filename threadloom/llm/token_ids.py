@@ -11,11 +11,12 @@ doc ids (i64), doc flags (u8: 1 for a null id, padded to 8), ids per document (u
 and the end (u64), words (u64), exceptions (u64).
 
 Edge cases: null and empty texts hold just the end id; a null doc_id sorts first; repeated ids are kept,
-side by side; an empty table writes no file and gives no rows; other columns are not read.
+side by side, in an order that their texts decide; an empty table writes no file and gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import get_file, positions, put_file, saved, scratch, slices
+from threadloom.llm.common import get_file, positions, product, put_file, saved, slices
 
 ID = attrgetter("id")
 MAGIC = b"TLS8ID01"
@@ -159,11 +160,23 @@ def read_shard(data: bytes, first: int = 0, last: int | None = None) -> tuple[li
     return [None if f else int(d) for d, f in zip(doc_ids, flags)], lengths, ids
 
 
+def splits_before_blanks(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those that Words relies on: byte-level BPE with the usual split rule and no more."""
+    split, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    plain = not any(settings.get(part) for part in ("normalizer", "post_processor", "truncation", "padding"))
+    usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    bare = model.get("type") == "BPE" and not any(model.get(part) for part in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    # an added token must not hold a blank, nor take those around it, nor be found inside a word of letters
+    added = all(" " not in t["content"] and not t["content"].isalpha() and not (t["lstrip"] or t["rstrip"]) for t in settings.get("added_tokens", []))
+    return bool(plain and usual and bare and added)
+
+
 class Words(dict):
     """Ids, as bytes, of a word with the blank before it; filled on demand by the tokenizer itself.
 
     A byte-level BPE splits text before every blank that precedes something else, so the ids of a text are those
-    of its words one after the other, unless a blank meets other white space; such texts are encoded whole.
+    of its words one after the other, unless a blank meets other white space; such texts are encoded whole, and so are all
+    texts if the tokenizer's settings are not those of such a BPE.
     A word of Latin letters is one pretoken and goes to the BPE model directly, signs after it are another.
     """
 
@@ -172,6 +185,7 @@ class Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = splits_before_blanks(json.loads(self.tokenizer.to_str()))
         self.once: dict[str, bytes] = {}  # words seen once wait here
         self.letters = self.tokenizer.model.tokenize
         self.marks: dict[str, bytes] = {}
@@ -212,7 +226,7 @@ class Words(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if text[-1] == " " or BLANKS.search(text):
+        if not self.by_words or text[-1] == " " or BLANKS.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
         return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
@@ -233,9 +247,10 @@ def encode(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: i
     """Write all (doc_id, text) as shards in ascending doc_id order; returns the shards' manifest.
 
     Manifest: pid, part (order of the shards), path, n_docs, n_ids, start (ids of all shards before).
-    ``tokenizer``: a file of a byte-level BPE for the tokenizers library; ``folder``: a folder that all machines share.
+    ``tokenizer``: a file for the tokenizers library; ``folder``: one that all machines share, by default a new one in
+    ``spark.checkpoint.dir`` that nothing deletes.
     """
-    folder = folder or scratch(docs.sparkSession, "token-ids")
+    folder = folder or product(docs.sparkSession, "token-ids")
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +274,9 @@ def encode(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: i
         if doc_ids:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one id are ordered and parted by their texts, so that neither null nor repeated ids meet in one task
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     shards = saved(ordered.mapInArrow(write, "pid int, part int, path string, n_docs long, n_ids long"), "shards")
     return saved(positions(shards, ["pid", "part"], "shard-starts", "n_ids").withColumnRenamed("position", "start"), "manifest")
 
