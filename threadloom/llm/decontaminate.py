@@ -7,7 +7,7 @@ line extends it and settles exactly which windows occur.  Items of fewer than SP
 the hash of all their words.  Everything is DataFrame operations.
 
 The fingerprints of the benchmark are broadcast while there are at most BROADCAST_ROWS of them, so are the ids of
-documents with matches, and the items while they have at most as many words; beyond that the same joins shuffle.
+documents with matches, and the items while they have at most BROADCAST_BYTES; beyond that the same joins shuffle.
 
 Nulls and edge cases: null and empty texts have no words; items without words match nothing; item ids count
 once however many rows they have, and a null item id is the string "null"; repeated documents get equal rows;
@@ -25,8 +25,10 @@ from threadloom.llm.common import saved
 SPAN, K = 13, 6
 WINDOW = SPAN - K + 1
 PLACE_BITS = 26
-BROADCAST_ROWS = 1_000_000
+#: What is broadcast has at most so many rows (of fixed width, or of so many bytes in all).
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32 << 20
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,40 +47,46 @@ def _grams(k: int) -> str:
 
 
 def _fingerprints(df: DataFrame, ids: list[str], short: list[int]) -> DataFrame:
-    """(ids, kind, hash, place) of kept fingerprints (kind SPAN) and of all runs of the lengths in ``short``."""
+    """(ids, kind, hash, place) of kept fingerprints (kind SPAN) and of all runs of the lengths in ``short``, in one pass."""
     df = df.select(*ids, "w", F.expr(f"if(size(w) < {SPAN}, array(), {_grams(K)})").alias("_g"))
-    kept = f"array_distinct(transform(sequence(0, size(_g) - {WINDOW}), i -> array_min(slice(_g, i + 1, {WINDOW}))))"
-    out = df.select(*ids, F.lit(SPAN).alias("kind"), F.explode(F.expr(f"if(size(_g) < {WINDOW}, array(), {kept})")).alias("f"))
-    for k in short:
-        out = out.unionByName(df.select(*ids, F.lit(k).alias("kind"), F.explode(F.expr(_grams(k))).alias("f")))
-    return out.select(*ids, "kind", F.expr(f"shiftright(f, {PLACE_BITS})").alias("hash"), F.expr(f"int(f & {(1 << PLACE_BITS) - 1}L)").alias("place"))
+    kept = f"if(size(_g) < {WINDOW}, array(), array_distinct(transform(sequence(0, size(_g) - {WINDOW}), i -> array_min(slice(_g, i + 1, {WINDOW})))))"
+    kinds = [f"transform({kept}, f -> struct({SPAN} as kind, f as f))", *(f"transform({_grams(k)}, f -> struct({k} as kind, f as f))" for k in short)]
+    out = df.select(*ids, F.explode(F.expr(f"concat({', '.join(kinds)})")).alias("e"))
+    return out.select(*ids, "e.kind", F.expr(f"shiftright(e.f, {PLACE_BITS})").alias("hash"), F.expr(f"int(e.f & {(1 << PLACE_BITS) - 1}L)").alias("place"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: F.Column | None = None) -> DataFrame:
+    """``df``, with a broadcast hint if it has few rows (and few bytes, where ``size`` tells those of a row)."""
+    few = df.limit(BROADCAST_ROWS + 1)
+    rows, held = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
+
+
+def _text_hash() -> F.Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, item_id, starts, length): windows of an item in a document, by the place of their first words."""
-    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").distinct()
-    items = saved(_words(named).filter("size(w) > 0").select("item_id", F.xxhash64("text").alias("item_hash"), "w"), "items")
+    """(doc_id, text_hash, item_ids, starts, length): windows of an item's words in a document, by the place of their first
+    words, and the ids of all items with these words."""
+    named = _words(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")).filter("size(w) > 0")
+    # items with the same words are one, named by 128 bits of them
+    items = saved(named.groupBy(F.md5(F.array_join("w", " ")).alias("item")).agg(F.any_value("w").alias("w"), F.array_sort(F.collect_set("item_id")).alias("item_ids")), "items")
     short = [r[0] for r in items.filter(F.size("w") < SPAN).select(F.size("w")).distinct().collect()]  # of 1 ... SPAN - 1
-    own = _fingerprints(items, ["item_id", "item_hash"], sorted(short)).join(items.select("item_id", "item_hash", F.least(F.size("w"), F.lit(SPAN)).alias("kind")), ["item_id", "item_hash", "kind"])
+    own = _fingerprints(items, ["item"], sorted(short)).join(items.select("item", F.least(F.size("w"), F.lit(SPAN)).alias("kind")), ["item", "kind"])
     own = saved(own.withColumnRenamed("place", "item_place"), "item-fingerprints")
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    texts = docs.select("doc_id", _text_hash().alias("text_hash"), "text")
     prints = _fingerprints(_words(texts), ["doc_id", "text_hash"], sorted(short))
-    lines = prints.join(_small(own), ["kind", "hash"]).select("doc_id", "text_hash", "item_id", "item_hash", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    lines = prints.join(_small(own), ["kind", "hash"]).select("doc_id", "text_hash", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     lines = saved(lines, "lines")
     ids = lines.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
     found = _words(texts.join(_small(ids), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "text_hash"]))
     found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("w").alias("dw"))
-    brief = (items.agg(F.sum(F.size("w"))).first()[0] or 0) <= BROADCAST_ROWS
-    named_words = items.withColumnRenamed("w", "iw")
-    both = lines.join(F.broadcast(named_words) if brief else named_words, ["item_id", "item_hash"]).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))
-    both = both.select("doc_id", "text_hash", "item_id", "shift", F.expr(f"least({SPAN}, size(iw))").alias("length"), F.expr("transform(iw, (x, j) -> coalesce(x = get(dw, shift + j), false))").alias("_m"))
+    named_words = _small(items.withColumnRenamed("w", "iw"), F.length(F.array_join("iw", " ")) + F.length(F.array_join("item_ids", " ")))
+    both = lines.join(named_words, "item").join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))
+    both = both.select("doc_id", "text_hash", "item_ids", "shift", F.expr(f"least({SPAN}, size(iw))").alias("length"), F.expr("transform(iw, (x, j) -> coalesce(x = get(dw, shift + j), false))").alias("_m"))
     starts = "transform(filter(sequence(0, size(_m) - length), j -> forall(slice(_m, j + 1, length), x -> x)), j -> j + shift)"
-    return both.withColumn("starts", F.expr(starts)).filter("size(starts) > 0").select("doc_id", "text_hash", "item_id", "starts", "length")
+    return both.withColumn("starts", F.expr(starts)).filter("size(starts) > 0").select("doc_id", "text_hash", "item_ids", "starts", "length")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -87,19 +95,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit: words inside any occurring window; contaminated: they are at least a twentieth of the words.
     """
     spans = F.flatten(F.collect_list(F.expr("transform(starts, s -> struct(s as a, s + length as b))")))
-    hits = matches(docs, benchmark).groupBy("doc_id", "text_hash").agg(F.array_sort(spans).alias("s"), F.array_sort(F.collect_set("item_id")).alias("i"))
+    hits = matches(docs, benchmark).groupBy("doc_id", "text_hash").agg(F.array_sort(spans).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i"))
     covered = "aggregate(s, struct(0L as n, 0 as till), (a, x) -> struct(a.n + greatest(0, x.b - greatest(a.till, x.a)) as n, greatest(a.till, x.b) as till), a -> a.n)"
     hits = hits.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.expr(covered).alias("n"), "i")
-    sizes = _words(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")).select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"))
-    out = sizes.join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left")
+    # words are counted without making them: case does not matter for that
+    sizes = docs.select("doc_id", _text_hash().alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    out = sizes.join(_small(hits, F.lit(64) + 16 * F.size("i")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left")
     n_hit, ids = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("i", F.array().cast("array<string>"))
     out = out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, all columns."""
-    bad = saved(contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "contaminated")
+    """The documents without benchmark passages, all columns.
+
+    A document goes if SPAN of its words, in one window or more, are hit, however long it is, or if it is contaminated.  So an
+    item of fewer words condemns short documents only: it may well occur in a long one by chance.
+    """
+    bad = contamination(docs, benchmark).filter(f"n_hit >= {SPAN} or contaminated")
+    bad = saved(bad.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "contaminated")
     same = docs["doc_id"].eqNullSafe(bad["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_t"])
     return docs.join(_small(bad), same, "left_anti")
 
