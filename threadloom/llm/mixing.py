@@ -5,8 +5,8 @@ by its leading bits, so ranges are even and need no sampling), sums of the range
 sum inside each range completes the prefix sum.  The mix cuts each source where the prefix sum reaches its
 budget; budgets above a source's size repeat the whole source first.
 
-Nulls and edge cases: a null source is a source of its own, ordered last; a null text has size 0; null ids
-hash as a fixed word; repeated rows are rows like others; an empty table gives no rows; other columns of
+Nulls and edge cases: a null source is a source of its own, ordered last; a null text has size 0; rows without
+an id get their key from the text; repeated rows are rows like others; an empty table gives no rows; other columns of
 the input are left out of the plan's shuffles.
 """
 
@@ -19,6 +19,8 @@ from threadloom.llm.common import WORD, positions, saved
 
 #: Rows per range of a source, about.
 RANGE_ROWS = 4096
+#: Ranges whose sums meet in one task: two to this power.
+LEVEL_BITS = 12
 
 
 def words(text: F.Column) -> F.Column:
@@ -48,6 +50,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return ranked.withColumn("target", F.least(level, cap.cast("double"))).drop("weight")
 
 
+def _starts(ranges: DataFrame) -> DataFrame:
+    """(s, r, start): the sum of n over all ranges of a source before this one, from (source, above, range, n).
+
+    In two levels: ranges of one ``above`` are summed up in one task, and so are the sums of these.
+    """
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranges.groupBy("source", "above").agg(F.sum("n").alias("n"))
+    tops = tops.select(F.col("source").alias("_s"), F.col("above").alias("_a"), F.coalesce(F.sum("n").over(before("source", "above")), F.lit(0)).alias("_top"))
+    own = ranges.withColumn("_own", F.coalesce(F.sum("n").over(before("source", "above", "range")), F.lit(0)))
+    own = own.join(tops, own["source"].eqNullSafe(tops["_s"]) & (own["above"] == tops["_a"]))
+    return own.select(F.col("source").alias("s"), F.col("range").alias("r"), (F.col("_top") + F.col("_own")).alias("start"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, part, taken) of every row of (doc_id, source, text), and the
     columns named in ``carry``.
@@ -55,7 +70,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     ``epochs``: how often the whole document is taken; ``part``: leading words of one more copy, less than
     ``size`` only for the document in which the budget ends.  taken = epochs * size + part.
     """
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    # rows without an id are told apart by their text, so that they don't share one key
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))))
     rows = saved(docs.select("doc_id", "source", *carry, words(F.col("text")).alias("size"), key.alias("key")), "sizes")
     aim = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), weights, share, most)
     aim = saved(aim.withColumn("bits", F.least(F.lit(31), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("rows") / RANGE_ROWS)))).cast("int")), "targets")
@@ -63,8 +79,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     # the leading bits of the key: of 32, so many that a range holds about RANGE_ROWS rows
     dealt = rows.join(aim, same).drop(aim["source"]).withColumn("range", F.expr("shiftright(bigint(conv(substring(key, 1, 8), 16, 10)), 32 - bits)"))
     ranges = dealt.groupBy("source", "range").agg(F.sum("size").alias("n"))
-    ends = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(ends), F.lit(0)).alias("start"))
+    starts = _starts(ranges.withColumn("above", F.expr(f"shiftright(range, {LEVEL_BITS})")))
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.floor(F.col("target") + 0.5)
@@ -78,23 +93,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Rows of the mix: whole documents once per epoch, and the last one of each source up to its budget.
 
-    A cut text keeps its leading words, one space between them, and n_chars follows it.
+    A cut text keeps its leading words, one space between them, and n_chars follows it.  The other columns travel as one
+    struct, so that none of their names can clash.
     """
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    plan = mix(rows, carry=("_row",), **options).filter("taken > 0").select("_row", F.col("size").alias("_size"), F.col("epochs").alias("_epochs"), F.col("part").alias("_part"))
-    copies = F.expr("transform(sequence(1, int(_epochs + if(_part > 0, 1, 0))), i -> if(i <= _epochs, _size, _part))")
-    rows = rows.join(plan.hint("merge"), "_row").withColumn("_take", F.explode(copies))
-    cut = F.col("_take") < F.col("_size")
-    lead = F.expr(r"array_join(slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), 1, int(_take)), ' ')")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    rows = saved(docs.select("doc_id", "source", "text", whole, F.monotonically_increasing_id().alias("number")), "rows")
+    plan = mix(rows, carry=("number",), **options).filter("taken > 0").select("number", "size", "epochs", "part")
+    copies = F.expr("transform(sequence(1, int(epochs + if(part > 0, 1, 0))), i -> if(i <= epochs, size, part))")
+    rows = rows.join(plan.hint("merge"), "number").withColumn("take", F.explode(copies))
+    cut = F.col("take") < F.col("size")
+    lead = F.expr(r"array_join(slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), 1, int(take)), ' ')")
     rows = rows.withColumn("text", F.when(cut, lead).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    changed = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return rows.select(*((changed[c].cast(docs.schema[c].dataType) if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 SQL = r"""
 WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-               md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
+               md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM sized GROUP BY source),
 w AS (SELECT source, source_size, CASE pos % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, (SELECT sum(source_size) * 1.5 FROM s)::DOUBLE AS total FROM s),
 c AS (SELECT *, total - coalesce(sum(2 * source_size) OVER (ORDER BY 2.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest,
