@@ -5,7 +5,8 @@ log-probability matrix is broadcast.  Its size is bounded: with more languages t
 never exceeds MATRIX_BYTES.  A batch is scored as one sparse product: bucket numbers of all its n-grams gather rows
 of the matrix, which are summed text by text.
 
-At most TRAIN_ROWS labelled texts of each language are learnt from, chosen by a hash of their ids; all texts are scored.
+At most TRAIN_ROWS labelled texts of each language are learnt from, chosen by a hash of id and text; all texts are scored.
+Labels beyond the MAX_LANGS most frequent (ties: in code-point order) are not learnt.
 
 Nulls and edge cases: null texts and texts without a letter are "und" with score 0; without any labelled text all
 are; null languages aren't learnt; equal scores go to the first language in code-point order; repeated rows are
@@ -27,6 +28,7 @@ from threadloom.llm.common import slices
 ORDERS = (1, 2, 3)
 BITS = 15
 MATRIX_BYTES = 64 << 20
+MAX_LANGS = 1024
 TRAIN_ROWS = 20_000
 SMOOTHING = 0.5
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -55,18 +57,19 @@ def ngrams(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, int]:
     """Languages, log-probabilities (buckets x languages) with the priors in the last row, and bits of the buckets."""
     labelled = labelled.filter("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row per language
+    # at most MAX_LANGS rows reach the driver
+    most = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     langs = sorted(counts, key=lambda x: x.encode())
     bits = BITS
-    while len(langs) * (4 << bits) > MATRIX_BYTES and bits > 8:
+    while len(langs) * (4 << bits) > MATRIX_BYTES:
         bits -= 1
-    if len(langs) * (4 << bits) > MATRIX_BYTES:
-        raise ValueError(f"{len(langs)} different labels can't be languages")
     if not langs:
         return [], np.zeros((1, 0), np.float32), bits
     code = {lang: k for k, lang in enumerate(langs)}
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n))))
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003)) < F.lit(1_000_003) * share[F.col("lang")])
+    labelled = labelled.filter(F.col("lang").isin(langs)) if len(langs) == MAX_LANGS else labelled
+    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1_000_003)) < F.lit(1_000_003) * share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(langs) << bits, np.int64)

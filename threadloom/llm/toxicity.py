@@ -5,7 +5,7 @@ the sigmoid loss l is estimated as p E_P[l(g)] + max(0, E_U[l(-g)] - p E_P[l(-g)
 the negative class, less what positives would have added to it, never below zero.  Where that term falls below zero, its
 gradient is taken back.  The scorer is linear in the presence of hashed words and word
 stems, those that positives have clearly more or less often than other texts.  Training is numpy on the driver over bounded samples
-(MAX_POSITIVE, MAX_UNLABELLED, chosen by hashes of ids); every text is scored, in its whole length.  The unlabelled sample
+(MAX_POSITIVE, MAX_UNLABELLED, chosen by hashes of ids and texts); every text is scored, in its whole length.  The unlabelled sample
 is a deviation: the unlabelled term of the risk is not estimated on all texts, however large the corpus is.  The prior is
 the share of toxic ones among the labels learnt from.
 
@@ -80,9 +80,9 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chosen(rows: DataFrame, n: int, most: int, salt: str) -> DataFrame:
-    """About ``most`` of n rows, by a hash of doc_id."""
+    """About ``most`` of n rows, by a hash of them."""
     share = min(1.0, most / n) if n else 1.0
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_003)) < share * 1_000_003)
+    return rows.filter(F.pmod(F.xxhash64(*rows.columns, F.lit(salt)), F.lit(1_000_003)) < share * 1_000_003)
 
 
 def _collected(chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,7 @@
 """WARC archives with segmented records.
 
-Writing: pages with equal payloads are found by their SHA-1 (counted with partial sums, so a payload that a third of
-all pages share is no hot spot); the smallest page_id is written as a response, the others as revisits of it.  A
+Writing: pages with equal payloads are found by their SHA-1 (counted with partial sums, and joined without the payloads,
+as a third of all pages may share one); the smallest page_id is written as a response, the others as revisits of it.  A
 response body is sent in chunks, and a record block longer than ``segment_bytes`` is cut: the first segment is the
 response, the others are continuation records that name its record id, in archives of their own.
 
@@ -28,11 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import get_file, put_file, saved, scratch
+from threadloom.llm.common import get_file, product, put_file, saved
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
 ARCHIVE_BYTES = 16 << 20
+FEW_ARCHIVES = 10_000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -96,12 +97,13 @@ def write(pages: DataFrame, folder: str | None = None, segment_bytes: int = SEGM
 
     Payloads of less than ``revisit_bytes`` are all written in full.  ``folder``: one that all machines share.
     """
-    folder = folder or scratch(pages.sparkSession, "warc")
+    folder = folder or product(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     heads = rows.filter(F.length("payload") >= revisit_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha1", "first")
-    rows = rows.join(saved(heads, "copied-payloads"), "sha1", "left")
-    rows = rows.withColumn("first", F.when(F.col("page_id") != F.col("first"), F.col("first")))
+    # only ids and hashes meet by hash, which many pages may share; payloads are joined by page
+    again = rows.select("page_id", "sha1").join(saved(heads, "copied-payloads"), "sha1").filter("page_id <> first").distinct()
+    rows = rows.join(saved(again, "revisits"), ["page_id", "sha1"], "left")
     # a revisit needs no payload
     rows = rows.select("page_id", "url", "sha1", "first", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"))
 
@@ -189,20 +191,23 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names, types)], names=names)
 
-    files = max(1, archives.count())
-    parsed = saved(archives.select("path").repartition(files).mapInArrow(parse, PARSED), "records")
+    # an archive a task while there are few, four a task where there are very many
+    files = archives.count()
+    tasks = max(1, files if files <= FEW_ARCHIVES else FEW_ARCHIVES + (files - FEW_ARCHIVES) // 4)
+    parsed = saved(archives.select("path").repartition(tasks).mapInArrow(parse, PARSED), "records")
     whole = parsed.filter("segment is null")
     # segments of one origin: equal ones (of repeated rows) once, in order, without gaps
     pieces = parsed.filter("segment is not null").groupBy("id", "segment").agg(F.any_value("block").alias("block"), F.max("total").alias("total"))
     joined = pieces.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total").alias("total"))
-    block = F.expr("aggregate(slice(s, 2, size(s)), s[0].block, (a, x) -> concat(a, x.block))")
+    # joined where they are decoded: a fold here would copy what it has so far for every segment
+    block = F.transform("s", lambda x: x["block"])
     sound = (F.col("s")[0]["segment"] == 1) & (F.element_at("s", -1)["segment"] == F.size("s")) & F.coalesce(F.expr("aggregate(s, 0L, (a, x) -> a + length(x.block))") == F.col("total"), F.lit(False))
     joined = joined.select("id", F.when(sound, block).otherwise(F.raise_error(F.concat("id", F.lit(": segments are missing or don't sum up to the total length")))).alias("block"))
     heads = parsed.filter("segment = 1").select("page_id", "url", "record_type", "id", "refers", "stated")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [checked(http_payload(b), s, i) for b, s, i in zip(batch.column("block").to_pylist(), batch.column("stated").to_pylist(), batch.column("id").to_pylist())]
+            done = [checked(http_payload(b"".join(b)), s, i) for b, s, i in zip(batch.column("block").to_pylist(), batch.column("stated").to_pylist(), batch.column("id").to_pylist())]
             batch = batch.drop_columns(["block"])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(p) for p in done], pa.int64()), pa.array(done if payloads else [None] * len(done), pa.binary())], names=[*batch.schema.names, "payload_bytes", "payload"])
 
