@@ -3,10 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and gives
 the reread table to the next stage.  All stages but the last return the columns of documents.  A stage first deletes the
 helper tables of the stage before: its docs are that one's written result, so nothing reads them any more.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names: as the operators' docstrings
+say.  In short: texts without words fail the quality rules, so later stages meet none; null sources, languages and ids are
+values like others; of repeated rows one stays; other columns are carried along under any name.
 """
 
 from __future__ import annotations
 
+import threading
 from functools import wraps
 
 from threadloom.llm import decontaminate, mixing, near_duplicates, quality, token_ids
@@ -14,16 +19,17 @@ from threadloom.llm.common import handed_out, release, saved, table
 from threadloom.llm.queries import tokenizer_path
 
 
-_left: list[str] = []
+#: Per thread, so that two runs at once keep apart.
+_left = threading.local()
 
 
 def stage(f):
     @wraps(f)
     def run_stage(spark, docs, sf_dir):
-        release(spark, _left)
+        release(spark, getattr(_left, "paths", []))
         before = set(handed_out())
         found = f(spark, docs, sf_dir)
-        _left[:] = [path for path in handed_out() if path not in before]
+        _left.paths = [path for path in handed_out() if path not in before]
         return found
 
     return run_stage
@@ -43,7 +49,7 @@ def near_duplicate_join(spark, docs, sf_dir):
 
 @stage
 def benchmark_decontamination(spark, docs, sf_dir):
-    """Documents with at least a twentieth of their words in benchmark passages go."""
+    """Documents with a benchmark passage of 13 words go, however long they are; short items condemn those that are a twentieth them."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -55,7 +61,7 @@ def target_mix(spark, docs, sf_dir):
 
 @stage
 def token_id_files(spark, docs, sf_dir):
-    """Texts become shards of token ids; rows tell what the files hold."""
+    """Texts become shards of token ids, which stay when helper tables go; rows tell what the files hold."""
     return token_ids.decode(token_ids.encode(docs, tokenizer_path()))
 
 
@@ -72,7 +78,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs, spent = table(spark, sf_dir, "documents"), []
     for name, function in STAGES:
+        before = set(handed_out())
         docs = saved(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = [path for path in handed_out() if path not in before]
+        # the table that saved() made last is the stage's result; the rest, and what the stage has read, are done with
+        release(spark, [*spent, *made[:-1]])
+        spent = made[-1:]
     return docs
