@@ -1,11 +1,14 @@
 """Chunks of the compressible rows, by size or by phase.
 
-A chunk closes on a sum that starts again with each chunk, so the bounds come from a fold over a session's rows (numbers
-only); the state keeps closed bounds, not rows.  Phases are windows, known before the fold.
+A chunk closes on a sum that starts again with each chunk, which no window expresses: sessions, sorted, stream through a task
+that carries the open chunk.  Phases are windows, known before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,14 +50,52 @@ def phase_limits(target: int, overrides: dict[str, int] | None = None) -> dict[s
     return {phase: (overrides or {}).get(phase, int(factor * target + 0.5)) for phase, factor in PHASE_FACTORS.items()}
 
 
-def _chunked(rows: DataFrame, fold: str, tokens: str) -> DataFrame:
-    """Rows with chunk_no: the number of bounds at or before idx; rows after the last bound have none."""
-    lists = rows.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("idx", F.col(tokens).alias("t"), *(["phase"] if "phase" in rows.columns else [])))).alias("r"))
-    bounds = lists.select("session", F.posexplode(F.expr(fold)).alias("chunk_no", "c")).select(F.col("session").alias("_s"), "chunk_no", F.col("c.s").alias("start_idx"), F.col("c.e").alias("end_idx"))
-    return rows.join(bounds, (F.col("session") == F.col("_s")) & (F.col("idx") >= F.col("start_idx")) & (F.col("idx") < F.col("end_idx")), "left").drop("_s")
-
+def _numbered(rows: DataFrame, before: Callable[[int, int, str | None, str | None], bool], after: Callable[[int, int], bool], least: int, tokens: str) -> DataFrame:
+    """Rows with chunk_no, start_idx and end_idx; null for rows in no chunk.
 
-NONE = "cast(array() as array<struct<s:int,e:int>>)"
+    A session's rows stream through one task in order, numbers only, and only the open chunk is held.  It closes before a row if
+    ``before`` says so of its rows, tokens and last phase and the row's, after one if ``after`` does; what remains is a chunk if it
+    has ``least`` rows.  Numbers come back to the rows by an equal join on (session, idx).
+    """
+    phase = F.col("phase") if "phase" in rows.columns else F.lit(None).cast("string")
+    thin = rows.select("session", F.col("idx").cast("long").alias("idx"), F.col(tokens).cast("long").alias("t"), phase.alias("phase"))
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        at, no, held, total, last = None, 0, [], 0, None
+
+        def closed(whole: bool) -> None:
+            out.extend((at, i, no, held[0], held[-1] + 1) if whole else (at, i, None, None, None) for i in held)
+
+        def flushed() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_s", "_i", "chunk_no", "start_idx", "end_idx"])
+
+        for batch in batches:
+            for session, idx, t, p in zip(*(batch.column(c).to_pylist() for c in ("session", "idx", "t", "phase"))):
+                if held and session != at:
+                    closed(len(held) >= least)
+                    held, total = [], 0
+                if session != at:
+                    at, no = session, 0
+                if held and before(len(held), total, last, p):
+                    closed(True)
+                    no, held, total = no + 1, [], 0
+                held.append(idx)
+                total, last = total + t, p
+                if after(len(held), total):
+                    closed(True)
+                    no, held, total = no + 1, [], 0
+            if out:
+                yield flushed()
+        if held:
+            closed(len(held) >= least)
+        yield flushed()
+
+    found = thin.repartition("session").sortWithinPartitions("session", "idx").mapInArrow(number, "_s string, _i long, chunk_no int, start_idx int, end_idx int")
+    return rows.join(found, (F.col("session") == F.col("_s")) & (F.col("idx") == F.col("_i")), "left").drop("_s", "_i")
 
 
 def by_size(rows: DataFrame, target: int, min_rows: int = MIN_ROWS, tokens: str = "text_tokens") -> DataFrame:
@@ -62,10 +103,7 @@ def by_size(rows: DataFrame, target: int, min_rows: int = MIN_ROWS, tokens: str
 
     What remains is a chunk if it has that many rows; else chunk_no is null.
     """
-    closed = f"array(named_struct('s', a.s, 'e', a.s + a.k + 1))"
-    step = f"if(a.t + x.t >= {target} and a.k + 1 >= {min_rows}, named_struct('s', a.s + a.k + 1, 'k', 0, 't', 0L, 'o', concat(a.o, {closed})), named_struct('s', a.s, 'k', a.k + 1, 't', a.t + x.t, 'o', a.o))"
-    rest = f"if(a.k >= {min_rows}, concat(a.o, array(named_struct('s', a.s, 'e', a.s + a.k))), a.o)"
-    return _chunked(rows, f"aggregate(r, named_struct('s', 0, 'k', 0, 't', 0L, 'o', {NONE}), (a, x) -> {step}, a -> {rest})", tokens)
+    return _numbered(rows, lambda n, t, last, phase: False, lambda n, t: t >= target and n >= min_rows, min_rows, tokens)
 
 
 def by_phase(rows: DataFrame, target: int, limits: dict[str, int] | None = None, min_rows: int = MIN_PHASE_ROWS, tokens: str = "text_tokens") -> DataFrame:
@@ -73,12 +111,8 @@ def by_phase(rows: DataFrame, target: int, limits: dict[str, int] | None = None,
 
     What remains is a chunk.  chunk_phase: of a chunk's last row.
     """
-    limit = "case a.p " + " ".join(f"when '{p}' then {n}" for p, n in phase_limits(target, limits).items()) + f" else {target} end"
-    closes = f"(a.k >= {min_rows} and (x.phase <> a.p or a.t >= {limit}))"
-    fresh = "named_struct('s', a.s + a.k, 'k', 1, 't', x.t, 'p', x.phase, 'o', concat(a.o, array(named_struct('s', a.s, 'e', a.s + a.k))))"
-    step = f"if({closes}, {fresh}, named_struct('s', a.s, 'k', a.k + 1, 't', a.t + x.t, 'p', x.phase, 'o', a.o))"
-    fold = f"aggregate(r, named_struct('s', 0, 'k', 0, 't', 0L, 'p', cast(null as string), 'o', {NONE}), (a, x) -> {step}, a -> if(a.k > 0, concat(a.o, array(named_struct('s', a.s, 'e', a.s + a.k))), a.o))"
-    out = _chunked(rows, fold, tokens)
+    most = phase_limits(target, limits)
+    out = _numbered(rows, lambda n, t, last, phase: n >= min_rows and (phase != last or t >= most.get(last, target)), lambda n, t: False, 1, tokens)
     return out.withColumn("chunk_phase", F.max_by("phase", "idx").over(Window.partitionBy("session", "chunk_no")))
 
 
@@ -90,10 +124,15 @@ def chunks(chunked: DataFrame, tokens: str = "text_tokens", old_enough: Column |
     out = rows.groupBy("session", "chunk_no", "start_idx", "end_idx").agg(ordered.alias("_r"), F.sum(tokens).alias("tokens"), F.first(phase).alias("phase"))
     lines = F.concat(F.array(F.lit(B.TRANSCRIPT_OPEN)), F.flatten(F.transform("_r", lambda x: x["_lines"])), F.array(F.lit(B.TRANSCRIPT_CLOSE)))
     out = out.withColumn("msg_ids", F.transform("_r", lambda x: x["msg_id"])).withColumn("transcript", F.array_join(lines, "\n"))
-    out = out.withColumn("chunk_key", F.array_join("msg_ids", ":")).drop("_r")
+    out = out.withColumn("chunk_key", key("msg_ids")).drop("_r")
     return out if old_enough is None else out.filter(old_enough)
 
 
+def key(ids: str) -> Column:
+    """Key of a chunk: its message ids joined by colons, those in the ids marked so that different lists differ."""
+    return F.array_join(F.transform(ids, lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))), ":")
+
+
 def with_existing(found: DataFrame, done: DataFrame) -> DataFrame:
     """Chunks with the summary that an earlier pass made of the same messages: (session, chunk_key, summary_id, diary), else pending."""
     out = found.join(done.select("session", "chunk_key", "summary_id", "diary"), ["session", "chunk_key"], "left")

@@ -17,18 +17,13 @@ from threadloom.functions import blocks as B
 Summariser = Callable[[DataFrame], Column]
 COLUMNS = ["session", "ord", "id", "level", "content", "tokens", "source_level", "source_ids", "source_first", "source_last", "merged_into", "created", "phase"]
 SCHEMA = "session string, ord long, id string, level int, content string, tokens long, source_level int, source_ids array<string>, source_first string, source_last string, merged_into string, created timestamp, phase string"
-LEAD = "[LEAD]"
 MERGE_THRESHOLD, TARGET_TOKENS = 6, 2000
 PRIOR_ROWS, PRIOR_TOKENS = 50, 15000
 
-#: What to keep of a chunk, by phase.
-FOCUS = {
-    "research": "State what was looked for, which sources were read and what they said; leave out raw data.",
-    "synthesis": "State how conclusions were reached, which ideas were kept or dropped, and what was decided next.",
-    "lesson": "State what was recorded as knowledge, on which evidence, and how sure it is.",
-    "subagent": "State which tasks were handed out, what came back, and what it amounted to together.",
-}
-LEADS = f"Mark leads and open questions that nobody has followed up with {LEAD}."
+#: Prompts are configuration; these neutral ones only state the facts of what is to be summarised.
+CHUNK_PROMPT = "Summarise {rows} messages ({phase}) in at most {target} tokens."
+TRANSITION_PROMPT = "Summarise what precedes this change of topic in at most {target} tokens."
+MERGE_PROMPT = "Summarise {rows} summaries of level {level} ({phase}) in at most {target} tokens."
 
 
 def extractive(rows: DataFrame) -> Column:
@@ -36,12 +31,17 @@ def extractive(rows: DataFrame) -> Column:
     return F.expr("left(array_join(transform(filter(split(transcript, '\\n'), x -> trim(x) <> '' and not startswith(x, '<')), x -> left(x, 80)), ' '), int(4 * target_tokens))")
 
 
-def instruction(phase: Column, target: int) -> Column:
+def filled(template: str, **values: Column | int | str) -> Column:
+    """A prompt: the template's {names} replaced by values, which may differ from row to row."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("any phase")) if isinstance(value, Column) else F.lit(str(value)))
+    return out
+
+
+def instruction(phase: Column, target: int, rows: Column | int = 1, template: str = CHUNK_PROMPT) -> Column:
     """What a summariser is asked to write about a chunk."""
-    chain = F.lit("Tell, in your own voice, everything that has happened since your last message.")
-    for name, text in FOCUS.items():
-        chain = F.when(phase == name, F.lit(f"{text} {LEADS}")).otherwise(chain)
-    return F.concat(chain, F.lit(f" Use about {target} tokens."))
+    return filled(template, phase=phase, target=target, rows=rows)
 
 
 def phase_histogram(sources: DataFrame, by: list[str]) -> DataFrame:
@@ -51,9 +51,9 @@ def phase_histogram(sources: DataFrame, by: list[str]) -> DataFrame:
     return counts.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["_c"].cast("string"), F.lit(" "), x["_p"])), ", ").alias("phases"))
 
 
-def merge_instruction(level: int, target: int, phases: Column | None = None) -> Column:
-    kinds = F.lit("") if phases is None else F.concat(F.lit(" ("), phases, F.lit(")"))
-    return F.concat(F.lit(f"Merge these level-{level - 1} memories"), kinds, F.lit(f" into one account of how things went. Use about {target} tokens. Keep every item marked {LEAD} until it is settled."))
+def merge_instruction(level: int, target: int, phases: Column | None = None, rows: Column | int = 1, template: str = MERGE_PROMPT) -> Column:
+    """What a summariser is asked to write about summaries of the level below."""
+    return filled(template, level=level - 1, target=target, rows=rows, phase=F.lit("any phase") if phases is None else phases)
 
 
 def compress(pending: DataFrame, summaries: DataFrame, target: int = TARGET_TOKENS, summarise: Summariser = extractive) -> DataFrame:
@@ -61,13 +61,12 @@ def compress(pending: DataFrame, summaries: DataFrame, target: int = TARGET_TOKE
 
     A chunk whose messages already have a summary, in the same order, gets none.
     """
-    key = lambda c: F.array_join(c, ":")
-    made = summaries.filter("level = 1").select("session", key(F.col("source_ids")).alias("_k")).distinct()
-    fresh = pending.withColumn("_k", key(F.col("msg_ids"))).join(made, ["session", "_k"], "left_anti")
+    made = summaries.filter("level = 1").select("session", F.col("source_ids").alias("msg_ids")).distinct()
+    fresh = pending.join(made, ["session", "msg_ids"], "left_anti")
     start = summaries.groupBy("session").agg((F.max("ord") + 1).alias("_start"))
     rank = F.row_number().over(Window.partitionBy("session").orderBy("chunk_no")) - 1
     fresh = fresh.join(start, "session", "left").withColumn("ord", (F.coalesce("_start", F.lit(0)) + rank).cast("long"))
-    fresh = fresh.withColumn("target_tokens", F.lit(target)).withColumn("prompt", instruction(F.col("phase"), target))
+    fresh = fresh.withColumn("target_tokens", F.lit(target)).withColumn("prompt", instruction(F.col("phase"), target, F.size("msg_ids")))
     return _rows(fresh.withColumn("content", summarise(fresh)), 1, F.col("msg_ids"), F.element_at("msg_ids", 1), F.element_at("msg_ids", -1), F.col("phase"))
 
 
@@ -92,7 +91,7 @@ def merge(summaries: DataFrame, level: int, threshold: int = MERGE_THRESHOLD, ta
         groups = groups.join(phase_histogram(due, ["session", "group_no"]), ["session", "group_no"])
     start = summaries.groupBy("session").agg((F.max("ord") + 1).alias("_start"))
     groups = groups.join(start, "session").withColumn("ord", (F.col("_start") + F.row_number().over(Window.partitionBy("session").orderBy("group_no")) - 1).cast("long"))
-    groups = groups.withColumn("target_tokens", F.lit(target)).withColumn("prompt", merge_instruction(level, target, F.col("phases") if phases else None)).withColumn("transcript", F.array_join(F.transform("p", lambda x: x["content"]), "\n"))
+    groups = groups.withColumn("target_tokens", F.lit(target)).withColumn("prompt", merge_instruction(level, target, F.col("phases") if phases else None, F.size("p"))).withColumn("transcript", F.array_join(F.transform("p", lambda x: x["content"]), "\n"))
     made = _rows(groups.withColumn("content", summarise(groups)), level, F.transform("p", lambda x: x["id"]), F.col("p")[0]["source_first"], F.element_at("p", -1)["source_last"], F.lit(None).cast("string"))
     links = made.select("session", F.explode("source_ids").alias("id"), F.col("id").alias("_into")).select("session", "id", "_into")
     marked = summaries.join(links, ["session", "id"], "left").withColumn("merged_into", F.coalesce("merged_into", "_into")).select(*COLUMNS)
@@ -129,10 +128,11 @@ def prior_rows(measured: DataFrame, starts: DataFrame) -> DataFrame:
 
     ``starts``: (session, chunk_no, start_pos).  Adds chunk_no and back (1: the nearest).
     """
-    rows = measured.join(starts, "session").filter((F.col("pos") < F.col("start_pos")) & (F.col("pos") >= F.col("start_pos") - PRIOR_ROWS))
+    wanted = starts.filter("start_pos > 0").select("session", "chunk_no", F.explode(F.expr(f"sequence(greatest(0, int(start_pos) - {PRIOR_ROWS}), int(start_pos) - 1)")).alias("pos"))
+    rows = measured.join(wanted, ["session", "pos"])
     order = Window.partitionBy("session", "chunk_no").orderBy(F.desc("pos"))
     rows = rows.withColumn("back", F.row_number().over(order)).withColumn("_t", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.filter(F.col("_t") < PRIOR_TOKENS).drop("_t", "start_pos")
+    return rows.filter(F.col("_t") < PRIOR_TOKENS).drop("_t")
 
 
 def transition_text(zoned: DataFrame, summaries: DataFrame | None = None, limit: int = 8000) -> DataFrame:

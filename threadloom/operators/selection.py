@@ -212,7 +212,11 @@ def injected(entries: DataFrame, injections: DataFrame) -> tuple[DataFrame, Data
     anchor = F.max(F.when(F.lower("participant") == "user", F.col("out_pos"))).over(session())
     e = entries.withColumn("_anchor", anchor)
     sessions = e.groupBy("session").agg(F.max("_anchor").alias("_anchor"), F.max("out_pos").alias("_end")).withColumnRenamed("session", "_s")
-    near = injections.filter("position <> 'system'").join(sessions, F.col("session").isNull() | (F.col("session") == F.col("_s")))
+    near = injections.filter("position <> 'system'")
+    # two joins, as one with "or" can't be by key; those for every session meet them under one constant
+    own = near.filter("session is not null").join(sessions, F.col("session") == F.col("_s"))
+    every = sessions.join(F.broadcast(near.filter("session is null").groupBy().agg(F.collect_list(F.struct(*near.columns)).alias("_all"))))
+    near = own.unionByName(every.select(F.explode("_all").alias("_x"), "_s", "_anchor", "_end").select("_x.*", "_s", "_anchor", "_end"))
     near = near.filter("position = 'afterUser' or _anchor is not null")
     slot = F.when(F.col("position") == "beforeUser", 0).otherwise(2)
     near = near.select(F.col("_s").alias("session"), F.coalesce("_anchor", F.col("_end")).alias("_at"), slot.alias("_slot"), "ord", F.lit(None).cast("string").alias("source_msg_id"), F.lit(None).cast("string").alias("source_relation"), F.concat(F.lit("injection:"), "namespace").alias("participant"), "content", F.lit(False).alias("cache_marker"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import sys
-import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -21,6 +20,7 @@ from threadloom.functions import blocks as B
 from threadloom.operators import filters, pyramid
 from threadloom.plans.strategies import Budget, Passthrough, Resettable, State, Strategy, compiled
 from threadloom.sources import context_log, message_log
+from threadloom.sources.tables import shared_folder
 
 SESSION = "main"
 
@@ -36,13 +36,13 @@ class View:
 
 
 class ContextEngine:
-    """One namespace of a folder.  ``path`` or ``spark`` tables in a temporary folder; ``isolate`` needs a namespace."""
+    """One namespace of a folder: ``path``, or a new one in the shared folder.  ``isolate`` needs a namespace."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, namespace: str | None = None, isolate: bool = False, strategy: Strategy | None = None, session: str = SESSION):
         if isolate and not namespace:
             raise ValueError("isolate needs a namespace")
         self.spark, self.session = spark, session
-        self.path = path or tempfile.mkdtemp(prefix="threadloom-")
+        self.path = path or shared_folder(spark, "engine")
         self.messages_ns = namespace if namespace and isolate else "default"
         self.entries_ns = namespace or "default"
         self.branch, self.state = message_log.MAIN, State()

@@ -24,7 +24,7 @@ e AS (SELECT *, CAST(CASE WHEN has_use THEN ceil(length(compact) / 4.0) + 20 ELS
  CASE event_type WHEN 'click' THEN 'research' WHEN 'view' THEN 'research' WHEN 'purchase' THEN 'lesson' WHEN 'signup' THEN 'subagent' END AS tool_phase FROM e0)"""
 OPS = """c AS (SELECT CAST(conv_id AS VARCHAR) AS session, conv_id, turn, conv_id || '-' || turn AS msg_id, role AS participant, text FROM conversations)"""
 SUMMARIES = """s AS (SELECT source AS session, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord, CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 10 = 9 THEN 3 WHEN doc_id % 10 >= 7 THEN 2 ELSE 1 END AS level,
- left(text, 20) AS content, CAST(floor(n_chars / 40.0) AS BIGINT) AS tokens, CASE WHEN doc_id % 7 = 0 THEN 'gone' END AS merged_into, doc_id,
+ text AS content, CAST(floor(n_chars / 40.0) AS BIGINT) AS tokens, CASE WHEN doc_id % 7 = 0 THEN 'gone' END AS merged_into, doc_id,
  lag(doc_id, 2) OVER (PARTITION BY source ORDER BY doc_id) AS kid2, lag(doc_id, 1) OVER (PARTITION BY source ORDER BY doc_id) AS kid1,
  list_extract(['research', 'synthesis', 'lesson', 'subagent', 'other'], CAST(doc_id % 5 + 1 AS INT)) AS phase FROM documents)"""
 
@@ -353,3 +353,212 @@ def log_stats(spark, sf_dir) -> DataFrame:
 @query(f"WITH {PHASES} SELECT session, phase, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM p GROUP BY ROLLUP (session, phase)")
 def phase_rollup(spark, sf_dir) -> DataFrame:
     return _phased_events(spark, sf_dir).rollup("session", "phase").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
+
+
+# Context entries, lookups, media and the rest of the operators, each against SQL
+
+ENTRIES = f"""{CONVERSATIONS}, c AS (SELECT session, 'ctx-' || msg_id AS entry_id, msg_id AS source_msg_id, pos, CASE pos % 4 WHEN 0 THEN 'copy' WHEN 1 THEN 'derived' WHEN 2 THEN 'referenced' END AS relation, participant, text FROM m)"""
+
+
+def _shown_entries(entries: DataFrame) -> DataFrame:
+    return context_log.indexed(entries).select("entry_id", F.col("index").cast("long").alias("index"), B.extract_text().alias("text"))
+
+
+@query(f"WITH {ENTRIES} SELECT entry_id, pos AS index, CASE WHEN pos % 3 = 0 THEN 'new: ' || text ELSE text END AS text FROM c")
+def context_edit(spark, sf_dir) -> DataFrame:
+    e = _entries(spark, sf_dir)
+    new = e.filter("seq % 3 = 0").select("session", "entry_id", B.text_content(F.concat(F.lit("new: "), B.extract_text())).alias("content"))
+    return _shown_entries(context_log.edit(e, new))
+
+
+@query(f"WITH {ENTRIES} SELECT entry_id, row_number() OVER (PARTITION BY session ORDER BY pos) - 1 AS index, text FROM c WHERE pos % 3 <> 1")
+def context_remove(spark, sf_dir) -> DataFrame:
+    e = _entries(spark, sf_dir)
+    return _shown_entries(context_log.remove(e, e.filter("seq % 3 = 1")))
+
+
+@query(f"WITH {ENTRIES} SELECT entry_id, row_number() OVER (PARTITION BY session ORDER BY pos) - 1 AS index, text FROM c WHERE pos < 1 OR pos >= 3")
+def context_remove_range(spark, sf_dir) -> DataFrame:
+    return _shown_entries(context_log.remove_range(_entries(spark, sf_dir), 1, 3))
+
+
+@query(f"WITH {ENTRIES} SELECT entry_id, pos AS index, text FROM c WHERE CAST(session AS BIGINT) % 2 = 1 UNION ALL SELECT 'new-' || session, 0, 'fresh' FROM c WHERE CAST(session AS BIGINT) % 2 = 0 AND pos = 0")
+def context_replace_all(spark, sf_dir) -> DataFrame:
+    e = _entries(spark, sf_dir)
+    even = e.filter("bigint(session) % 2 = 0 and seq = 0")
+    new = even.withColumn("entry_id", F.concat(F.lit("new-"), "session")).withColumn("content", B.text_content(F.lit("fresh")))
+    return _shown_entries(context_log.replace_all(e, even, new))
+
+
+@query(f"WITH {ENTRIES} SELECT entry_id, pos AS index, relation FROM c WHERE participant = 'user'")
+def entries_by_source(spark, sf_dir) -> DataFrame:
+    m = conversation_messages(spark, sf_dir).filter("participant = 'user'")
+    return context_log.by_source(_entries(spark, sf_dir), m).select("entry_id", F.col("index").cast("long").alias("index"), F.col("source_relation").alias("relation"))
+
+
+@query(f"WITH {CONVERSATIONS} SELECT session, msg_id, pos, participant FROM m WHERE msg_id = (SELECT min(msg_id) FROM m)")
+def point_lookup(spark, sf_dir) -> DataFrame:
+    m = conversation_messages(spark, sf_dir)
+    wanted = m.agg(F.min("msg_id")).first()[0]
+    return message_log.lookup(m, wanted).select("session", "msg_id", F.col("pos").cast("long").alias("pos"), "participant")
+
+
+@query(f"WITH {FOLDED.format(till=1002)}, g AS (SELECT session, msg_id, row_number() OVER (PARTITION BY session ORDER BY turn) - 1 AS pos, text FROM f) SELECT * FROM g WHERE msg_id = (SELECT max(msg_id) FROM g WHERE pos = 1)")
+def lookup_as_of(spark, sf_dir) -> DataFrame:
+    wanted = table(spark, sf_dir, "conversations").filter("turn = 1").agg(F.max(F.concat_ws("-", "conv_id", "turn"))).first()[0]
+    found = message_log.lookup_at(operation_log(spark, sf_dir), wanted, 1002)
+    return found.select("session", "msg_id", F.col("pos").cast("long").alias("pos"), B.extract_text().alias("text"))
+
+
+@query(f"WITH {OPS} SELECT 'side' AS id, 'side' AS name, 10 * turn AS head, 'main' AS parent_id, 10 * turn AS branch_point FROM c WHERE msg_id = (SELECT max(msg_id) FROM c WHERE turn = 1)")
+def branch_points(spark, sf_dir) -> DataFrame:
+    wanted = table(spark, sf_dir, "conversations").filter("turn = 1").agg(F.max(F.concat_ws("-", "conv_id", "turn"))).first()[0]
+    adds = operation_log(spark, sf_dir).filter("op = 'add'")
+    return message_log.branch_at(message_log.fold(adds), wanted, "side").drop("created")
+
+
+@query("SELECT doc_id, text, 'text/plain' AS media_type, CAST(NULL AS BIGINT) AS estimate FROM documents")
+def blob_get(spark, sf_dir) -> DataFrame:
+    media = B.block(type="document", source_type="base64", media_type="text/plain", data=F.base64(F.encode("text", "UTF-8")), token_estimate=F.lit(7))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), F.array(media).alias("content"))
+    back = message_log.resolve_blobs(message_log.extract_blobs(d), message_log.blobs(d), ["msg_id"])
+    one = F.col("content")[0]
+    return back.select(F.col("msg_id").alias("doc_id"), F.decode(F.unbase64(one["data"]), "UTF-8").alias("text"), one["media_type"].alias("media_type"), one["token_estimate"].cast("long").alias("estimate"))
+
+
+@query("SELECT doc_id, doc_id % 3 <> 1 AS storable, doc_id % 3 = 0 AS is_image FROM documents")
+def storable_media(spark, sf_dir) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 3 == 2, "audio").otherwise("image")
+    block = B.block(type=kind, source_type=F.when(F.col("doc_id") % 3 == 1, "url").otherwise("base64"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array(block).alias("content"))
+    return d.select("doc_id", B.has_storable_media().alias("storable"), (B.has_block("image") & B.has_storable_media()).alias("is_image"))
+
+
+@query("""SELECT doc_id, CAST(ceil(length(text) / 4.0) + ceil(length(lang) / 4.0) + ceil(length(source) / 4.0) + 9 + 1000 + 1000 AS BIGINT) AS full_tokens,
+CAST(ceil(length(text) / 4.0) + ceil(length(lang) / 4.0) AS BIGINT) AS text_only, CAST(ceil(length(text) / 4.0) AS BIGINT) AS text_blocks FROM documents""")
+def media_estimates(spark, sf_dir) -> DataFrame:
+    """Text, thinking, a result of nested blocks, an image without an estimate of its own, and audio."""
+    nested = F.array(F.struct(F.lit("text").alias("type"), F.col("source").alias("text"), F.lit(None).cast("int").alias("token_estimate")), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(9).alias("token_estimate")))
+    content = F.array(B.block(type="text", text=F.col("text")), B.block(type="thinking", thinking=F.col("lang")), B.block(type="tool_result", result_blocks=nested), B.block(type="image"), B.block(type="audio"))
+    d = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    return d.select("doc_id", B.full_tokens().alias("full_tokens"), B.text_only_tokens().alias("text_only"), B.text_block_tokens().alias("text_blocks"))
+
+
+@query("SELECT doc_id, CAST(ceil((length(text) + 2) / 4.0) AS BIGINT) AS tokens, CAST(ceil((length(text) + 1) / 4.0) AS BIGINT) AS points, left(text, 9) AS cut FROM documents")
+def utf16_estimates(spark, sf_dir) -> DataFrame:
+    """A character beyond 16 bits counts twice in UTF-16, and a slice never parts it."""
+    d = table(spark, sf_dir, "documents").withColumn("t", F.concat("text", F.lit("\U0001F986")))
+    return d.select("doc_id", B.estimate_text("t", True).alias("tokens"), B.estimate_text("t").alias("points"), F.left("t", F.least(F.lit(9), F.length("text"))).alias("cut"))
+
+
+@query(f"WITH {CONVERSATIONS} SELECT session, arg_max(msg_id, pos) AS anchor_id FROM m WHERE pos IN (1, 2) GROUP BY session")
+def topic_markers(spark, sf_dir) -> DataFrame:
+    """The last marker of the manager itself; the same words of others don't count."""
+    m = conversation_messages(spark, sf_dir)
+    marked = B.text_content(F.concat(F.lit(B.TRANSITION_PREFIX), F.lit(" next")))
+    m = m.withColumn("participant", F.when(F.col("pos").isin(1, 2), F.lit(B.TRANSITION_PARTICIPANT)).otherwise(F.col("participant"))).withColumn("content", F.when(F.col("pos") >= 1, marked).otherwise(F.col("content")))
+    return zones.last_marker(m)
+
+
+@query(f"WITH {SUMMARIES}, alive AS (SELECT * FROM s WHERE merged_into IS NULL) SELECT session, id FROM alive WHERE level = 1 AND coalesce(kid1 % 11 <> 0, true) AND coalesce(kid2 % 11 <> 0, true)")
+def summaries_without_excluded(spark, sf_dir) -> DataFrame:
+    """First-level summaries that share no source with what is shown anyway."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("session"), F.col("doc_id").cast("string").alias("msg_id"), "doc_id")
+    excluded = d.filter("doc_id % 22 = 0").union(d.filter("doc_id % 11 = 0")).select("session", "msg_id").distinct()
+    return selection.shown_summaries(summary_table(spark, sf_dir), excluded).filter("level = 1").select("session", "id")
+
+
+@query(f"WITH {SUMMARIES}, g AS (SELECT session, doc_id AS group_no, kid2, kid1 FROM s WHERE level = 2 AND kid2 IS NOT NULL AND kid1 % 7 <> 0 AND kid2 % 7 <> 0) SELECT session, group_no, 0 AS place, CAST(kid2 AS VARCHAR) AS id FROM g UNION ALL SELECT session, group_no, 1, CAST(kid1 AS VARCHAR) FROM g")
+def merge_sources(spark, sf_dir) -> DataFrame:
+    """Sources of a merge in their order; a group with one that is gone is left out whole."""
+    s = summary_table(spark, sf_dir)
+    wanted = s.filter("level = 2 and size(source_ids) = 2").select("session", F.col("id").cast("long").alias("group_no"), "source_ids")
+    return pyramid.resolve(s.filter("merged_into is null"), wanted).select("session", "group_no", F.col("place").cast("long").alias("place"), "id")
+
+
+@query(ORACLE_SQL["chunk_by_size"].replace("SELECT session, CAST(c AS BIGINT) AS chunk_no", "SELECT session, CAST(c AS BIGINT) AS chunk_no, c % 2 = 0 AS compressed, CASE WHEN c % 2 = 0 THEN 'diary ' || c END AS diary"))
+def chunk_reuse(spark, sf_dir) -> DataFrame:
+    rows = zones.compressible(zones.zoned(zones.measured(conversation_messages(spark, sf_dir)), 0, -1))
+    found = chunking.chunks(chunking.by_size(rows, 150, 2))
+    done = found.filter("chunk_no % 2 = 0").select("session", "chunk_key", F.lit(None).cast("string").alias("summary_id"), F.concat(F.lit("diary "), F.col("chunk_no").cast("string")).alias("diary"))
+    out = chunking.with_existing(found, done)
+    return out.select("session", F.col("chunk_no").cast("long").alias("chunk_no"), "compressed", "diary", F.col("start_idx").cast("long").alias("start_idx"), F.col("end_idx").cast("long").alias("end_idx"), "chunk_key", "tokens")
+
+
+@query(f"""WITH {CONVERSATIONS}, e AS (SELECT *, sum(length(participant) + length(text) + 4) OVER (PARTITION BY session ORDER BY pos) - 2 AS till FROM m)
+SELECT session, string_agg(participant || ': ' || text, chr(10) || chr(10) ORDER BY pos) FILTER (pos < 2) || CASE WHEN max(pos) > 1 THEN chr(10) || chr(10) || '[...truncated...]' ELSE '' END AS head_text FROM (SELECT e.*, 0 AS z FROM e) GROUP BY session""")
+def transition_head(spark, sf_dir) -> DataFrame:
+    """Head rows as text while they fit, here two of them: the limit is set per session by making later rows long."""
+    m = conversation_messages(spark, sf_dir)
+    text = F.when(F.col("pos") < 2, B.extract_text()).otherwise(F.repeat(F.lit("z"), 8000))
+    z = zones.zoned(zones.measured(m.withColumn("content", B.text_content(text))), 1 << 30, 0)
+    return pyramid.transition_text(z).select("session", "head_text")
+
+
+@query(f"WITH {SUMMARIES}, k AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ord DESC) AS r FROM s WHERE level >= 2) SELECT session, string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS top_text FROM k WHERE r <= 3 GROUP BY session")
+def transition_top(spark, sf_dir) -> DataFrame:
+    """The last three higher summaries of each session."""
+    none = conversation_messages(spark, sf_dir).filter("session is null")
+    text = pyramid.transition_text(zones.zoned(zones.measured(none), 0, 0), summary_table(spark, sf_dir))
+    return text.select("session", "top_text")
+
+
+@query(f"WITH {SUMMARIES}, u AS (SELECT session, level, count(*) AS n FROM s WHERE merged_into IS NULL AND level < 3 GROUP BY ALL), g AS (SELECT session, CAST(sum(n // 6) AS BIGINT) AS pending_merges FROM u GROUP BY session HAVING sum(n // 6) > 0) SELECT session, CAST(0 AS BIGINT) AS pending_chunks, pending_merges, false AS ready FROM g")
+def readiness(spark, sf_dir) -> DataFrame:
+    none = spark.createDataFrame([], "session string, compressed boolean")
+    return pyramid.readiness(summary_table(spark, sf_dir), none)
+
+
+@query("SELECT DISTINCT lang, source, 'Summarise 3 messages (' || lang || ') in at most 50 tokens.' AS chunk_prompt, 'Summarise 6 summaries of level 1 (' || source || ') in at most 50 tokens.' AS merge_prompt FROM documents")
+def instructions(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("lang", "source").distinct()
+    return d.select("lang", "source", pyramid.instruction(F.col("lang"), 50, 3).alias("chunk_prompt"), pyramid.merge_instruction(2, 50, F.col("source"), 6).alias("merge_prompt"))
+
+
+@query("SELECT event_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms, props AS json FROM events")
+def epoch_millis(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.unix_millis(F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")))).alias("ms"), F.col("props").alias("json"))
+
+
+@query("""SELECT r_name AS participant, CASE WHEN r_regionkey = 1 THEN 'edited' ELSE lower(r_name) END AS text, row_number() OVER (ORDER BY r_regionkey) - 1 AS pos,
+(SELECT count(*) - 1 FROM region) AS messages, (SELECT count(*) - 1 FROM region) AS entries, (SELECT count(*) - 1 FROM region) AS heard, 1 AS branches FROM region WHERE r_regionkey <> 2""")
+def engine_store(spark, sf_dir) -> DataFrame:
+    """A store in a new folder: append, copy to entries, edit, remove, listen, count, read by view."""
+    from threadloom.plans.engine import ContextEngine
+    from threadloom.sources.tables import shared_folder
+
+    engine, heard = ContextEngine(spark, shared_folder(spark, "engine"), "regions", isolate=True), []
+    off = engine.add_listener(heard.append)
+    ids = {}
+    rows = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()  # regions are few by definition
+    for k, r in enumerate(rows):
+        if k == len(rows) - 1:
+            off()
+        ids[r["r_regionkey"]] = engine.add_message(r["r_name"], r["r_name"].lower())
+        engine.append_entry(r["r_name"], r["r_name"].lower(), ids[r["r_regionkey"]], "copy")
+    engine.edit_message(ids[1], "edited")
+    engine.remove_message(ids[2])
+    stats = engine.stats()
+    engine.sync()
+    engine.create_view("engine_messages")
+    out = engine.get_store().table("engine_messages").select("participant", B.extract_text().alias("text"), F.col("pos").cast("long").alias("pos"))
+    engine.close()
+    return out.select("*", F.lit(stats["messages"]).cast("long").alias("messages"), F.lit(stats["context_entries"]).cast("long").alias("entries"), F.lit(len(heard)).cast("long").alias("heard"), F.lit(stats["branches"]).alias("branches"))
+
+
+@query(ORACLE_SQL["chunk_by_size"].replace("x AS (SELECT session, c, count(*) AS rows,", "x AS (SELECT session, c, bool_or(closed) AS closed, count(*) AS rows,").replace("WHERE rows >= 2 AND", "WHERE closed AND").replace("CAST(a AS BIGINT) AS start_idx, CAST(b AS BIGINT) AS end_idx, ", ""))
+def feed_chunks(spark, sf_dir) -> DataFrame:
+    """The log replayed as a stream in three batches: chunks that have closed, by a stateful operator."""
+    from threadloom.sources.tables import shared_folder
+    from threadloom.streaming import feed
+
+    base = shared_folder(spark, "feed")
+    rows = conversation_messages(spark, sf_dir).withColumn("seq", F.col("pos").cast("long"))
+    for k in range(3):
+        last = F.col("pos") >= 4 if k == 2 else F.col("pos").between(2 * k, 2 * k + 1)
+        message_log.adds(rows.filter(last)).write.mode("append").parquet(f"{base}/ops")
+        added = feed.operations(spark, f"{base}/ops").filter("op = 'add'").select("session", "seq", "msg_id", B.full_tokens().alias("tokens"))
+        feed.finished(feed.chunk_stream(added, 150, 2).writeStream.format("parquet").option("path", f"{base}/chunks").option("checkpointLocation", f"{base}/progress").outputMode("append"))
+    out = spark.read.schema(feed.CHUNK).parquet(f"{base}/chunks")
+    return out.select("session", "chunk_no", F.array_join("msg_ids", ":").alias("chunk_key"), "tokens")

@@ -118,7 +118,7 @@ class Autobiographical:
     def _done(self, found: DataFrame, state: State) -> DataFrame:
         empty = found.limit(0).select("session", F.lit(None).cast("string").alias("chunk_key"), F.lit(None).cast("string").alias("summary_id"), F.lit(None).cast("string").alias("diary"))
         if state.summaries is not None:
-            own = state.summaries.filter("level = 1").groupBy("session", F.array_join("source_ids", ":").alias("chunk_key")).agg(F.min_by("id", "ord").alias("summary_id"))
+            own = state.summaries.filter("level = 1").groupBy("session", chunking.key("source_ids").alias("chunk_key")).agg(F.min_by("id", "ord").alias("summary_id"))
             empty = empty.unionByName(own.withColumn("diary", F.lit(None).cast("string")))
         if state.diaries is not None:
             empty = empty.unionByName(state.diaries.select("session", "chunk_key", F.lit(None).cast("string").alias("summary_id"), "diary"))
@@ -143,7 +143,7 @@ class Autobiographical:
         c = self.config
         pending = kept(self.chunks(messages, state).filter("not compressed"), "pending-chunks")
         if not c.hierarchical:
-            pending = pending.withColumn("target_tokens", F.lit(c.summary_target_tokens)).withColumn("prompt", pyramid.instruction(F.col("phase"), c.summary_target_tokens))
+            pending = pending.withColumn("target_tokens", F.lit(c.summary_target_tokens)).withColumn("prompt", pyramid.instruction(F.col("phase"), c.summary_target_tokens, F.size("msg_ids")))
             made = pending.withColumn("diary", self.summarise(pending)).select("session", "chunk_key", "diary")
             return replace(state, diaries=made if state.diaries is None else state.diaries.select("session", "chunk_key", "diary").unionByName(made))
         before = state.summaries if state.summaries is not None else messages.sparkSession.createDataFrame([], pyramid.SCHEMA)
@@ -168,7 +168,7 @@ class Autobiographical:
     def transition_summary(self, messages: DataFrame, state: State) -> DataFrame:
         """(session, text): a summary of the head and of the last higher-level summaries."""
         parts = pyramid.transition_text(self.zoned(messages, state), state.summaries)
-        parts = parts.withColumn("transcript", F.concat_ws("\n", "head_text", "top_text")).withColumn("target_tokens", F.lit(1500)).withColumn("prompt", F.lit("Sum up, for a change of topic, what was aimed at, found and left open."))
+        parts = parts.withColumn("transcript", F.concat_ws("\n", "head_text", "top_text")).withColumn("target_tokens", F.lit(1500)).withColumn("prompt", pyramid.filled(pyramid.TRANSITION_PROMPT, target=1500))
         return parts.select("session", self.summarise(parts).alias("text"))
 
 

@@ -78,8 +78,11 @@ def lookup(state: DataFrame, msg_id: str) -> DataFrame:
 
 
 def lookup_at(ops: DataFrame, msg_id: str, as_of: int) -> DataFrame:
-    """A message as the log had it at a sequence number; the id reaches the scan, as positions aren't asked for."""
-    return fold(ops.filter((F.col("msg_id") == msg_id) | (F.col("op") == "remove_range") | (F.col("op") == "add")), as_of).filter(F.col("msg_id") == msg_id)
+    """A message as the log had it at a sequence number.
+
+    Its position counts all messages before it, so adds, removals and ranges of all are folded; edits of others are not read.
+    """
+    return fold(ops.filter((F.col("msg_id") == msg_id) | (F.col("op") != "edit")), as_of).filter(F.col("msg_id") == msg_id)
 
 
 def from_offset(state: DataFrame, index: int) -> DataFrame:

@@ -19,20 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder that driver and executors share (``spark.checkpoint.dir``) and read back.
-
-    Cuts a plan that later steps would repeat, at a table that outlives executors.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; a temporary one on a single machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/threadloom/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/threadloom/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back.
+
+    Cuts a plan that later steps would repeat, at a table that outlives executors.
+    """
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

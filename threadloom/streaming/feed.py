@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from threadloom.sources import context_log, message_log
@@ -82,3 +83,18 @@ CHUNK = "session string, chunk_no long, msg_ids array<string>, tokens long"
 def chunk_stream(adds: DataFrame, target: int, min_rows: int = 4) -> DataFrame:
     """Closed chunks of a stream of (session, seq, msg_id, tokens).  Needs a state store that holds column families (RocksDB)."""
     return adds.groupBy("session").transformWithStateInPandas(statefulProcessor=SizeChunker(target, min_rows), outputStructType=CHUNK, outputMode="Append", timeMode="None")
+
+
+#: Setting of the state store, and the store that holds column families.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def finished(writer: DataStreamWriter) -> None:
+    """Run a query over all that has arrived, with the state store that chunk_stream needs, and wait for its end."""
+    spark = writer._spark
+    before = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(*STATE_STORE)
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE[0], before)
