@@ -12,7 +12,7 @@ documents with matches, and the items while they have at most BROADCAST_BYTES; b
 Nulls and edge cases: null and empty texts have no words; items without words match nothing; item ids count
 once however many rows they have, and a null item id is the string "null"; repeated documents get equal rows;
 documents with equal ids and different texts are told apart by a hash of the text; an empty benchmark marks
-nothing.  Texts up to 2^26 words are supported, which is beyond the 2 GB limit of a value for words of 30 bytes.
+nothing.  Texts of fewer than 2^26 words are supported, which is beyond the 2 GB limit of a value for words of 30 bytes.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ PLACE_BITS = 26
 #: What is broadcast has at most so many rows (of fixed width, or of so many bytes in all).
 BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32 << 20
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,10 +46,13 @@ def _grams(k: int) -> str:
 
 
 def _fingerprints(df: DataFrame, ids: list[str], short: list[int]) -> DataFrame:
-    """(ids, kind, hash, place) of kept fingerprints (kind SPAN) and of all runs of the lengths in ``short``, in one pass."""
+    """(ids, kind, hash, place) of kept fingerprints (kind SPAN) and of all runs of the lengths in ``short``, in one pass.
+
+    A row of kind 0 tells the number of a text's words as its place.
+    """
     df = df.select(*ids, "w", F.expr(f"if(size(w) < {SPAN}, array(), {_grams(K)})").alias("_g"))
     kept = f"if(size(_g) < {WINDOW}, array(), array_distinct(transform(sequence(0, size(_g) - {WINDOW}), i -> array_min(slice(_g, i + 1, {WINDOW})))))"
-    kinds = [f"transform({kept}, f -> struct({SPAN} as kind, f as f))", *(f"transform({_grams(k)}, f -> struct({k} as kind, f as f))" for k in short)]
+    kinds = ["array(struct(0 as kind, bigint(size(w)) as f))", f"transform({kept}, f -> struct({SPAN} as kind, f as f))", *(f"transform({_grams(k)}, f -> struct({k} as kind, f as f))" for k in short)]
     out = df.select(*ids, F.explode(F.expr(f"concat({', '.join(kinds)})")).alias("e"))
     return out.select(*ids, "e.kind", F.expr(f"shiftright(e.f, {PLACE_BITS})").alias("hash"), F.expr(f"int(e.f & {(1 << PLACE_BITS) - 1}L)").alias("place"))
 
@@ -66,9 +68,9 @@ def _text_hash() -> F.Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, item_ids, starts, length): windows of an item's words in a document, by the place of their first
-    words, and the ids of all items with these words."""
+def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_words) of every row, and (doc_id, text_hash, item_ids, starts, length): windows of an item's words
+    in a document, by the place of their first words, and the ids of all items with these words."""
     named = _words(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")).filter("size(w) > 0")
     # items with the same words are one, named by 128 bits of them
     items = saved(named.groupBy(F.md5(F.array_join("w", " ")).alias("item")).agg(F.any_value("w").alias("w"), F.array_sort(F.collect_set("item_id")).alias("item_ids")), "items")
@@ -77,8 +79,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = saved(own.withColumnRenamed("place", "item_place"), "item-fingerprints")
     texts = docs.select("doc_id", _text_hash().alias("text_hash"), "text")
     prints = _fingerprints(_words(texts), ["doc_id", "text_hash"], sorted(short))
-    lines = prints.join(_small(own), ["kind", "hash"]).select("doc_id", "text_hash", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    lines = saved(lines, "lines")
+    # one pass over the texts serves the counts of words too, so the join keeps the rows of kind 0
+    marks = prints.join(_small(own), ["kind", "hash"], "left").filter("kind = 0 or item is not null")
+    marks = saved(marks.select("doc_id", "text_hash", "kind", "item", "place", (F.col("place") - F.col("item_place")).alias("shift")), "marks")
+    sizes = marks.filter("kind = 0").select("doc_id", "text_hash", F.col("place").cast("long").alias("n_words"))
+    lines = saved(marks.filter("item is not null").select("doc_id", "text_hash", "item", "shift").distinct(), "lines")
     ids = lines.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
     found = _words(texts.join(_small(ids), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "text_hash"]))
     found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("w").alias("dw"))
@@ -86,7 +91,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = lines.join(named_words, "item").join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))
     both = both.select("doc_id", "text_hash", "item_ids", "shift", F.expr(f"least({SPAN}, size(iw))").alias("length"), F.expr("transform(iw, (x, j) -> coalesce(x = get(dw, shift + j), false))").alias("_m"))
     starts = "transform(filter(sequence(0, size(_m) - length), j -> forall(slice(_m, j + 1, length), x -> x)), j -> j + shift)"
-    return both.withColumn("starts", F.expr(starts)).filter("size(starts) > 0").select("doc_id", "text_hash", "item_ids", "starts", "length")
+    return sizes, both.withColumn("starts", F.expr(starts)).filter("size(starts) > 0").select("doc_id", "text_hash", "item_ids", "starts", "length")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -95,11 +100,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit: words inside any occurring window; contaminated: they are at least a twentieth of the words.
     """
     spans = F.flatten(F.collect_list(F.expr("transform(starts, s -> struct(s as a, s + length as b))")))
-    hits = matches(docs, benchmark).groupBy("doc_id", "text_hash").agg(F.array_sort(spans).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i"))
+    sizes, found = matches(docs, benchmark)
+    hits = found.groupBy("doc_id", "text_hash").agg(F.array_sort(spans).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i"))
     covered = "aggregate(s, struct(0L as n, 0 as till), (a, x) -> struct(a.n + greatest(0, x.b - greatest(a.till, x.a)) as n, greatest(a.till, x.b) as till), a -> a.n)"
     hits = hits.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.expr(covered).alias("n"), "i")
-    # words are counted without making them: case does not matter for that
-    sizes = docs.select("doc_id", _text_hash().alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = sizes.join(_small(hits, F.lit(64) + 16 * F.size("i")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left")
     n_hit, ids = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("i", F.array().cast("array<string>"))
     out = out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
